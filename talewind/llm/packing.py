@@ -79,6 +79,7 @@ def pack(items: DataFrame, spool: Spool, capacity: int) -> DataFrame:
         .select("item_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), big), lambda i: F.least(F.lit(capacity).cast("long"), F.col("size") - i * capacity))).alias("piece", "size"))
     )
     order = ["size", "item_id", "piece"]
+    cut = spool.cut(cut, "pieces")  # the range split reads its input twice: sizes are counted once
     ranked = spool.cut(cut.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "items")
     hist = {r["size"]: r["n"] for r in ranked.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most one row per length
     per_task = {r["part"]: r["n"] for r in ranked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
@@ -101,7 +102,7 @@ def pack(items: DataFrame, spool: Spool, capacity: int) -> DataFrame:
     lo, per, first = (np.array(x, np.int64) for x in zip(*spans)) if spans else (np.empty(0, np.int64),) * 3
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in filter(len, frames):
             at = pdf["at"].to_numpy()
             rank = np.array([offsets[p] for p in (at >> 33)], np.int64) + (at & ((1 << 33) - 1))
             i = np.searchsorted(lo, rank, side="right") - 1
@@ -120,7 +121,7 @@ def token_counts(documents: DataFrame, text: str, vocabulary: str) -> DataFrame:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = None
-        for pdf in frames:
+        for pdf in filter(len, frames):
             enc = enc or load_encoding(vocabulary)
             yield pdf[keep].assign(n_tokens=pd.array([None if t is None else len(enc.encode_ordinary(t)) for t in pdf[text]], "Int64"))
 
