@@ -40,7 +40,10 @@ def similarity(a: tuple, b: tuple) -> float:
 
 
 def agglomerate(kinds: list[tuple], start: list[int], end: list[int], limit: float, gap_us: int | None) -> list[list[int]]:
-    """Merge one stretch: a list of runs, each the list of its elements' positions, in order."""
+    """Merge neighbouring elements: a list of runs, each the list of its elements' positions, in order.
+
+    ``kinds`` None is similar to nothing.  ``end`` is changed.
+    """
     n = len(kinds)
     runs = [[i] for i in range(n)]
     sets = [{k} for k in kinds]
@@ -49,9 +52,14 @@ def agglomerate(kinds: list[tuple], start: list[int], end: list[int], limit: flo
     queue: list[tuple[float, int, int, int, int]] = []
 
     def offer(i: int, j: int) -> None:
-        if gap_us is not None and start[j] - end[i] > gap_us:
+        if kinds[i] is None or kinds[j] is None or gap_us is not None and start[j] - end[i] > gap_us:
+            return
+        if len(sets[i]) == 1 and sets[i] == sets[j]:
+            s = 1.0
+        elif limit >= 1.0:
             return
-        s = min(similarity(x, y) for x in sets[i] for y in sets[j])
+        else:
+            s = min(similarity(x, y) for x in sets[i] for y in sets[j])
         if s >= limit:
             heapq.heappush(queue, (-s, i, j, stamp[i], stamp[j]))
 
@@ -74,12 +82,11 @@ def agglomerate(kinds: list[tuple], start: list[int], end: list[int], limit: flo
 
 
 def _collapse(pdf: pd.DataFrame, gap_us: int | None) -> pd.DataFrame:
-    """The queue's pairs of similarity 1, popped all at once: equal neighbours within the gap become one element."""
-    ev, pr, en = pdf["event_id"], pdf["program"], pdf["entity"]
-    same = (en == en.shift()) & (ev == ev.shift()).fillna(False).astype(bool) & (pr == pr.shift()) & pr.notna()
-    if gap_us is not None:
-        same &= (pdf["start_us"] - pdf["end_us"].shift() <= gap_us)
-    g = (~same).cumsum().to_numpy()
+    """The agglomeration down to similarity 1: equal neighbours within the gap become one element."""
+    known = (pdf["event_id"].notna() & pdf["program"].notna()).tolist()
+    kinds = [k if ok else None for k, ok in zip(zip(pdf["entity"].tolist(), pdf["event_id"].tolist(), pdf["program"].tolist()), known)]
+    runs = agglomerate(kinds, pdf["start_us"].tolist(), pdf["end_us"].tolist(), 1.0, gap_us)
+    g = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
     by = pdf.groupby(g, sort=True)
     return pd.DataFrame({
         "entity": by["entity"].first(), "first_step": by["first_step"].min(), "last_step": by["last_step"].max(), "n": by["n"].sum(),
@@ -91,6 +98,8 @@ def _borders(el: pd.DataFrame, limit: float, gap_us: int | None) -> np.ndarray:
     ev, pr, en = (el[c].to_numpy(object) for c in ("event_id", "program", "entity"))
     st, ed = el["start_us"].to_numpy(), el["end_us"].to_numpy()
     out = np.ones(len(el), bool)
+    if limit >= 1.0:  # equal neighbours are one element already
+        return out
     for i in range(1, len(el)):
         out[i] = not linked((en[i - 1], ev[i - 1], pr[i - 1], ed[i - 1]), (en[i], ev[i], pr[i], st[i]), limit, gap_us)
     return out
