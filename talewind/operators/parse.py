@@ -32,6 +32,14 @@ def parse_time(text: Column) -> Column:
         dated.try_cast("timestamp"), *(F.try_to_timestamp(dated, F.lit(f)) for f in ("M/d/yyyy H:mm:ss", "MMM d yyyy HH:mm:ss", "MMM d yyyy HH:mm", "d MMM yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss")))
 
 
+def once(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
+    """``df`` (or its columns ``keep``) with columns that are computed once per row, however often later steps refer to them.
+
+    A projection could be copied into every expression and filter above it; a one-row generator can't.
+    """
+    return df.select(*(keep or df.columns), F.inline(F.array(F.struct(*(c.alias(k) for k, c in cols.items())))))
+
+
 def parse(records: DataFrame) -> DataFrame:
     """``(seq, record)`` to ``(seq, event_id, ts, host, event_source_id, provider, channel, record, reason)``.
 
@@ -44,7 +52,7 @@ def parse(records: DataFrame) -> DataFrame:
     security, shell = F.col("event_id") == 4624, F.col("event_id").isin(4103, 4104)
     by_parser = lambda s, p, o: F.when(security, s).when(shell, p).otherwise(o)
     return (
-        records.withColumn("event_id", whole).withColumn("time_text", text).withColumn("ts", parse_time(text))
+        once(once(records.select("seq", "record"), event_id=whole, time_text=text), ts=parse_time(F.col("time_text")))
         .select(
             "seq", "event_id", "ts", F.coalesce(either("Hostname", "Computer"), F.lit("Unknown")).alias("host"),
             F.coalesce(either("RecordNumber", "EventRecordID"), F.lit("")).alias("event_source_id"),
@@ -131,7 +139,7 @@ def entities(events: DataFrame, *keep: str) -> DataFrame:
             sid=user("UserSid"), account=user("UserName"), domain=user("DomainName"), logon_id=F.col("record")["TargetLogonId"], logon_type=_number(F.col("record")["LogonType"], F.lit(None).cast("int")),
             authentication_package=F.col("record")["AuthenticationPackageName"], elevated=F.coalesce(F.col("record")["ElevatedToken"] == "%%1842", F.lit(False))))
     )
-    return events.withColumn("e", one).filter("e is not null").select("seq", "host", "ts", "event_id", "e.*", *keep)
+    return events.select("seq", "host", "ts", "event_id", *keep, F.inline(F.array_compact(F.array(one))))
 
 
 def edges(events: DataFrame) -> DataFrame:
@@ -146,4 +154,4 @@ def edges(events: DataFrame) -> DataFrame:
     )
     # The relationship each event id states.
     rel = F.when(e == 1, "spawned").when(e == 3, "connected_to").when(e == 7, "loaded").when(e == 10, "accessed_process").when(e == 11, "created_file").when(e.isin(12, 13), "modified_registry")
-    return entities(events.withColumn("src", src).withColumn("rel", rel).filter("src is not null"), "src", "rel").select("seq", "host", "ts", "src", "rel", F.col("entity_id").alias("dst"))
+    return entities(once(events, src=src, rel=rel).filter("src is not null"), "src", "rel").select("seq", "host", "ts", "src", "rel", F.col("entity_id").alias("dst"))

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from talewind.spool import Spool
+
 #: English function words left out of the vocabulary; a parameter of :func:`vocabulary`.
 STOP_WORDS = (
     "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "before", "but", "by", "can", "each", "for", "from", "had", "has", "have", "how", "if", "in", "into", "is", "it",
@@ -41,9 +43,10 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, size: int = 40
     The source filter acts on the ranking, before the cut.  Blank queries and an empty corpus give no rows.  Only
     documents that share a term with a query meet it.
     """
-    tf = terms(docs, "doc_id", "text")
+    spool = Spool(docs.sparkSession, "tfidf")
+    tf = spool.cut(terms(docs, "doc_id", "text"), "terms")
     n = docs.filter("text is not null").count()
-    vocab = vocabulary(tf, F.lit(n), size)
+    vocab = spool.cut(vocabulary(tf, F.lit(n), size), "vocabulary")
     d = weights(tf, vocab).withColumnRenamed("id", "doc_id")
     q = weights(terms(queries, "query_id", "text"), vocab).select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
     s = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
