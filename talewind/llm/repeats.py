@@ -95,8 +95,7 @@ def _collapse(pdf: pd.DataFrame, gap_us: int | None) -> pd.DataFrame:
 
 def _borders(el: pd.DataFrame, limit: float, gap_us: int | None) -> np.ndarray:
     """True where an element starts a new stretch."""
-    ev, pr, en = (el[c].to_numpy(object) for c in ("event_id", "program", "entity"))
-    st, ed = el["start_us"].to_numpy(), el["end_us"].to_numpy()
+    ev, pr, en, st, ed = (el[c].tolist() for c in ("event_id", "program", "entity", "start_us", "end_us"))
     out = np.ones(len(el), bool)
     if limit >= 1.0:  # equal neighbours are one element already
         return out
@@ -114,29 +113,40 @@ def linked(a: tuple, b: tuple, limit: float, gap_us: int | None) -> bool:
     return similarity((a[1], a[2]), (b[1], b[2])) >= limit
 
 
-def _merge_stretch(el: pd.DataFrame, limit: float, gap_us: int | None) -> list[tuple]:
-    if len(el) == 1:
-        return [tuple(el.iloc[0])]
-    kinds = list(zip(el["event_id"], el["program"]))
+def _merge_stretch(rows: list[tuple], limit: float, gap_us: int | None) -> list[tuple]:
+    """Runs of one stretch of elements (in the order of ``_COLS``); a run's kind is its commonest, the smaller among equals."""
+    if len(rows) == 1:
+        return rows
+    kinds = [(r[6], r[7]) if isinstance(r[6], int) and isinstance(r[7], str) else None for r in rows]
     out = []
-    for run in agglomerate(kinds, el["start_us"].tolist(), el["end_us"].tolist(), limit, gap_us):
-        r = el.iloc[run]
-        top = r.groupby(["event_id", "program"], sort=True)["n"].sum().idxmax()
-        out.append((r["entity"].iloc[0], r["first_step"].min(), r["last_step"].max(), r["n"].sum(), r["start_us"].min(), r["end_us"].max(), top[0], top[1]))
+    for run in agglomerate(kinds, [r[4] for r in rows], [r[5] for r in rows], limit, gap_us):
+        if len(run) == 1:
+            out.append(rows[run[0]])
+            continue
+        part, n = [rows[i] for i in run], {}
+        for r in part:
+            n[r[6], r[7]] = n.get((r[6], r[7]), 0) + r[3]
+        top = min(n, key=lambda k: (-n[k], k))
+        out.append((part[0][0], min(r[1] for r in part), max(r[2] for r in part), sum(r[3] for r in part), min(r[4] for r in part), max(r[5] for r in part), *top))
     return out
 
 
 _COLS = ["entity", "first_step", "last_step", "n", "start_us", "end_us", "event_id", "program"]
 
 
+def _rows(el: pd.DataFrame) -> list[tuple]:
+    return list(zip(*(el[c].tolist() for c in _COLS)))
+
+
 def _closed(el: pd.DataFrame, cuts: np.ndarray, limit: float, gap_us: int | None) -> pd.DataFrame:
     """Runs of whole stretches; a stretch of one element needs no queue."""
     starts = np.flatnonzero(cuts)
     size = np.diff(np.append(starts, len(el)))
     single = el.iloc[starts[size == 1]]
     rows: list[tuple] = []
+    every = _rows(el) if (size > 1).any() else []
     for s, k in zip(starts[size > 1], size[size > 1]):
-        rows += _merge_stretch(el.iloc[s : s + k], limit, gap_us)
+        rows += _merge_stretch(every[s : s + k], limit, gap_us)
     return pd.concat([single, pd.DataFrame(rows, columns=_COLS).astype(el.dtypes.to_dict())], ignore_index=True) if rows else single
 
 
@@ -200,7 +210,7 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
         pdf = pdf.sort_values(["part", "ord"], ignore_index=True)
         pdf = pdf[_COLS].assign(event_id=pdf["event_id"].astype("Int64"), program=pdf["program"].astype(object).where(pdf["program"].notna(), None))
         el = _collapse(pdf, gap_us)
-        return pd.DataFrame(_merge_stretch(el, limit, gap_us), columns=_COLS).astype({"event_id": "Int64"})
+        return pd.DataFrame(_merge_stretch(_rows(el), limit, gap_us), columns=_COLS).astype({"event_id": "Int64"})
 
     mended = edge.join(F.broadcast(chains), ["part", "place"]).groupBy("chain").applyInPandas(across, _RUN)
     return got.filter("place = 'inside'").select(*_COLS).unionByName(mended)
