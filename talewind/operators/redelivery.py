@@ -57,14 +57,16 @@ def covered(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 def _repeated(rows: DataFrame, keys: list[str], earlier: DataFrame | None) -> DataFrame:
     """Links (seq, smallest seq of the same key) of rows whose key occurs more than once, in ``rows`` or in ``earlier``.
 
-    Counts are combined before the shuffle; only keys that repeat come back to be joined, one row each, so a group of
-    copies of any size is only streamed past its key.
+    Where the smallest seq of a key is a new one, that row links the smallest stored seq of the key to itself; the
+    other stored rows were linked to that one when they came.  Counts are combined before the shuffle; only keys that
+    repeat come back to be joined, one row each, so a group of copies of any size is only streamed past its key.
     """
-    every = rows.select(*keys, "seq")
+    every = rows.select(*keys, "seq", F.lit(None).cast("long").alias("old"))
     if earlier is not None:
-        every = every.unionByName(earlier.select(*keys, "seq"))
-    twice = every.groupBy(*keys).agg(F.min("seq").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.select(*keys, "seq").join(twice, keys).filter("seq <> first").select(F.col("seq").alias("a"), F.col("first").alias("b"))
+        every = every.unionByName(earlier.select(*keys, "seq", F.col("seq").alias("old")))
+    twice = every.groupBy(*keys).agg(F.min("seq").alias("first"), F.min("old").alias("old"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    link = F.when(F.col("seq") != F.col("first"), F.col("seq")).otherwise(F.col("old"))
+    return rows.select(*keys, "seq").join(twice, keys).select(link.alias("a"), F.col("first").alias("b")).filter("a <> b")
 
 
 class SeenMessages:

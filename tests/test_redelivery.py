@@ -73,3 +73,25 @@ def test_one_message_delivered_very_often(spark, spool):
 
 def test_empty(spark, spool):
     assert run(spark, spool, [], 2)[0] == set()
+
+
+def test_smaller_seq_comes_in_a_later_batch(spark, spool):
+    t = datetime(2020, 1, 1)
+    rows = [(3, "a" * 32, None, None, None, t, 0), (5, "a" * 32, None, None, None, t, 0), (1, "a" * 32, None, None, None, t, 1), (2, "a" * 32, None, None, None, t, 1)]  # by uuid
+    rows += [(14, None, "h", "c", "7", t, 0), (13, None, "h", "c", "7", t, 0), (11, None, "h", "c", "7", t, 1)]  # by number, inside a seen range
+    rows += [(22, "b" * 32, "h", "c", "x", t, None), (21, "b" * 32, "h", "c", "y", t, 1)]  # the late copy has no batch number
+    assert run(spark, spool, rows, 2)[0] == {(2, 1), (3, 1), (5, 1), (13, 11), (14, 11), (22, 21)}
+
+
+def test_batches_in_any_order_against_union_find(spark, spool):
+    rng, t = random.Random(3), datetime(2020, 1, 1)
+    rows = [(i, f"{rng.randrange(1, 150):032x}" if rng.random() < 0.6 else None, "h", "c", str(rng.randrange(150)), t, rng.choice([0, 1, 2, 3, None])) for i in range(300)]
+    assert run(spark, spool, rows, 4)[0] == brute(rows)
+
+
+def test_replayed_batch(spark, spool):
+    b = identified(spark.createDataFrame([(4, "a" * 32, "h", "c", "7", datetime(2020, 1, 1), 0), (6, "a" * 32, "h", "c", "8", datetime(2020, 1, 1), 0)], SCHEMA))
+    seen = SeenMessages(spool)
+    seen.ingest(b)
+    seen.ingest(b)
+    assert {(r.dup_seq, r.kept_seq) for r in seen.copies().collect()} == {(6, 4)}
