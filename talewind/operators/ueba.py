@@ -99,13 +99,14 @@ class IsolationForest:
         return -np.exp2(-total / max(1, len(self.forest)) / self.norm)
 
 
-def with_forest(scored: DataFrame, features: list[str], train: DataFrame, limit: int = MOST, seed: int = 42) -> DataFrame:
-    """``scored`` with ``if_score`` of a forest trained on at most ``limit`` (a documented bound) non-anomalous rows of ``train``.
+def with_forest(scored: DataFrame, features: list[str], train: DataFrame, order: list[str], limit: int = MOST, seed: int = 42) -> DataFrame:
+    """``scored`` with ``if_score`` of a forest trained on the last ``limit`` (a documented bound) non-anomalous rows of ``train`` by ``order``.
 
     The forest is trained per batch, not after every 500th row: rows of one batch are scored by the forest that the
     batches before it gave, which keeps scoring parallel.  Fewer than 50 training rows leave the neutral score.
     """
-    x = np.array([[float(r[f] or 0) for f in features] for r in train.filter("not is_anomalous").orderBy(F.xxhash64(*features)).limit(limit).select(*features).collect()])
+    last = train.filter("not is_anomalous").orderBy(*map(F.desc, order)).limit(limit)
+    x = np.array([[float(r[f] or 0) for f in features] for r in last.select(*features).collect()])
     if len(x) < LEAST:
         return scored.withColumn("if_score", F.lit(NEUTRAL))
     forest = IsolationForest(seed=seed).fit(x)

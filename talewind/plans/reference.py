@@ -225,8 +225,9 @@ def ueba_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def ueba_trained(spark: SparkSession, sf: str) -> DataFrame:
     f, sp = _ueba_sessions(spark, sf)
-    z = sp.cut(ueba.scores(ueba.zscores(f, "host", ["start", "kind_rank", "session"], UEBA, "day"), UEBA).select("kind", "session", "is_anomalous", *UEBA, *(f"z_{u}" for u in UEBA)), "scored")
-    return ueba.scores(ueba.with_forest(z, UEBA, z), UEBA, "if_score").select("kind", "session", "score", "is_anomalous")
+    order = ["start", "kind_rank", "session"]
+    z = sp.cut(ueba.scores(ueba.zscores(f, "host", order, UEBA, "day"), UEBA).select("kind", *order, "is_anomalous", *UEBA, *(f"z_{u}" for u in UEBA)), "scored")
+    return ueba.scores(ueba.with_forest(z.drop("start", "kind_rank"), UEBA, z, order), UEBA, "if_score").select("kind", "session", "score", "is_anomalous")
 
 
 # ---- hygiene, metrics, audits -----------------------------------------------------------------------------------

@@ -166,6 +166,15 @@ def test_isolation_forest_ranks_outliers():
     assert s.argmin() == 400 and (s < 0).all() and (s >= -1).all()
 
 
+def test_forest_is_trained_on_the_last_rows(spark, monkeypatch):
+    seen, fit = [], ueba.IsolationForest.fit
+    monkeypatch.setattr(ueba.IsolationForest, "fit", lambda self, x: seen.append(x) or fit(self, x))
+    df = spark.createDataFrame([(i, float(i % 5 == 0), float(i % 7), i % 50 == 49) for i in range(1000)], "t long, a double, b double, is_anomalous boolean")
+    got = ueba.with_forest(df, ["a", "b"], df, ["t"], limit=300)
+    want = [[float(i % 5 == 0), float(i % 7)] for i in range(999, -1, -1) if i % 50 != 49][:300]  # every vector keeps its share
+    assert seen[0].tolist() == want and got.select("if_score").distinct().count() > 1
+
+
 def test_hygiene(spark):
     rng = random.Random(1)
     rows = [(v := rng.random(), 2 * v, 1.0, rng.random(), rng.random()) for _ in range(200)]
