@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from talewind.operators.evaluate import group_folds, no_leakage, predicted
 from talewind.operators.hygiene import Hygiene
+from talewind.spool import Spool
 
 
 @dataclass
@@ -49,17 +50,28 @@ class Attribution:
         fold = F.create_map(*(x for g, i in folds.items() for x in (F.lit(g), F.lit(i))))[F.col(group).cast("string")]
         rows = rows.withColumn("fold", fold)
         for i in sorted(set(folds.values())):
-            part = rows.filter(F.col("fold") != i)
-            if part.select("label_i").distinct().count() < len(self.classes):
-                continue  # a fold without one of the classes cannot be calibrated for it
-            forest = self._forest(part.drop("fold"))
-            held = forest.transform(rows.filter(F.col("fold") == i)).select("label_i", vector_to_array("probability").alias("p"))
+            fitted = self._fold(rows, i)
+            if fitted is None:
+                continue
+            forest, scale = fitted
             self.forests.append(forest)
-            self.scalers.append([self._platt(held, c) for c in range(len(self.classes))])
+            self.scalers.append(scale)
         if not self.forests:
             self.forests, self.scalers = [self._forest(rows.drop("fold"))], [None]
         return self
 
+    def _fold(self, rows: DataFrame, i: int) -> tuple | None:
+        """The forest of the other folds' rows and its scaling on the rows of fold ``i``."""
+        part = rows.filter(F.col("fold") != i).drop("fold")
+        if part.select("label_i").distinct().count() < len(self.classes):
+            return None  # a fold without one of the classes cannot be calibrated for it
+        forest = self._forest(part)
+        held = forest.transform(rows.filter(F.col("fold") == i)).select("label_i", vector_to_array("probability").alias("p")).persist()  # read many times by each class
+        try:
+            return forest, [self._platt(held, c) for c in range(len(self.classes))]
+        finally:
+            held.unpersist()
+
     def _platt(self, held: DataFrame, c: int) -> tuple[float, float] | None:
         x = held.select((F.col("label_i") == c).cast("double").alias("y"), F.col("p")[c].alias("s"))
         if x.select("y").distinct().count() < 2:
@@ -74,14 +86,15 @@ class Attribution:
         k = len(self.classes)
         for i, (forest, scale) in enumerate(zip(self.forests, self.scalers)):
             got = forest.transform(out).withColumn(f"_p{i}", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
-            p = [F.col(f"_p{i}")[c] for c in range(k)]
             if scale is not None:
-                p = [F.lit(1.0) / (1 + F.exp(-(F.lit(s[0]) * x + F.lit(s[1])))) if s else x for x, s in zip(p, scale)]
-            norm = sum(p[1:], p[0])
-            p = [F.when(norm > 0, x / norm).otherwise(1.0 / k) for x in p]
-            out, total = got, p if total is None else [a + b for a, b in zip(total, p)]
+                p = [F.col(f"_p{i}")[c] for c in range(k)]
+                got = got.withColumn(f"_p{i}", F.array(*(F.lit(1.0) / (1 + F.exp(-(F.lit(s[0]) * x + F.lit(s[1])))) if s else x for x, s in zip(p, scale))))
+            # columns of their own, since an expression that repeats the sum for each class outgrows code generation
+            out = got.withColumn(f"_n{i}", F.aggregate(f"_p{i}", F.lit(0.0), lambda a, x: a + x))
+            p = [F.when(F.col(f"_n{i}") > 0, F.col(f"_p{i}")[c] / F.col(f"_n{i}")).otherwise(1.0 / k) for c in range(k)]
+            total = p if total is None else [a + b for a, b in zip(total, p)]
         n = len(self.forests)
-        return out.withColumn("proba", F.array(*(t / n for t in total))).withColumn("pred", predicted(self.classes)).drop("v", *(f"_p{i}" for i in range(n)))
+        return out.withColumn("proba", F.array(*(t / n for t in total))).withColumn("pred", predicted(self.classes)).drop("v", *(f"_{x}{i}" for i in range(n) for x in "pn"))
 
 
 def serve(model: Attribution | None, rows: DataFrame, k: int = 3) -> DataFrame:
@@ -95,14 +108,17 @@ def serve(model: Attribution | None, rows: DataFrame, k: int = 3) -> DataFrame:
 
 
 def leave_one_group_out(rows: DataFrame, features: list[str], label: str, group: str, **model) -> DataFrame:
-    """``(group, y, pred, proba, classes)`` of every row, predicted by a model that never saw its group."""
-    out = None
+    """``(group, y, pred, proba, classes)`` of every row, predicted by a model that never saw its group.
+
+    Each group's predictions are written out, so that only one group's forests are held at a time.
+    """
+    out, sp = None, Spool(rows.sparkSession, "loso")
     for r in rows.select(F.col(group).cast("string").alias("g")).distinct().orderBy("g").collect():  # one entry per held-out group
         test, train = rows.filter(F.col(group).cast("string") == r.g), rows.filter(F.col(group).cast("string") != r.g)
         no_leakage(train, test, group)
         if train.select(label).distinct().count() < 2:
             continue
         m = Attribution(features, **model).fit(train, label, group)
-        one = m.predict(test).select(F.col(group).cast("string").alias("group"), F.col(label).cast("string").alias("y"), "pred", "proba", F.array(*map(F.lit, m.classes)).alias("classes"))
+        one = sp.cut(m.predict(test).select(F.col(group).cast("string").alias("group"), F.col(label).cast("string").alias("y"), "pred", "proba", F.array(*map(F.lit, m.classes)).alias("classes")), "predicted")
         out = one if out is None else out.unionByName(one)
     return out

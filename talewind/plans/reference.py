@@ -369,8 +369,10 @@ def graph_class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attribution_loso(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(f"f{i:02d}") for i in range(16)), F.concat(F.lit("T"), F.col("label")).alias("label"), (F.col("vec_id") % 2).alias("grp"))
-    return leave_one_group_out(v, [f"f{i:02d}" for i in range(16)], "label", "grp", trees=10, depth=4, calibrate=False).select("group", "y", "pred", F.round(F.array_max("proba"), 4).alias("confidence"))
+    e = table(spark, sf, "embeddings")
+    names = [f"f{i:02d}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    v = e.select(*(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)), F.concat(F.lit("T"), F.col("label")).alias("label"), (F.col("vec_id") % 5).alias("grp"))
+    return leave_one_group_out(v, names, "label", "grp").select("group", "y", "pred", F.round(F.array_max("proba"), 4).alias("confidence"))
 
 
 def incident_report(spark: SparkSession, sf: str) -> DataFrame:

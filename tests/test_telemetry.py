@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talewind.operators import benign, evaluate, features, graph, labels, parse, retrieval, sessions, transitions, twin, ueba
 from talewind.operators.attribution import Attribution, leave_one_group_out, serve
 from talewind.operators.hygiene import Hygiene
+from talewind.plans import reference
 from talewind.sources import files
 from talewind.streaming.telemetry import gap_sessions, running_scores
 
@@ -211,6 +212,22 @@ def test_attribution(spark):
     assert leave_one_group_out(df, ["x", "y", "k"], "label", "grp", trees=3, depth=2, calibrate=False).count() == 60
 
 
+def test_attribution_query_runs_the_whole_job(spark, monkeypatch, tmp_path):
+    got = {}
+
+    def spy(rows, features, label, group, **model):
+        got.update(rows=rows, features=features, group=group, model=Attribution(features, **model))
+        return rows.select(F.col(group).alias("group"), F.col(label).alias("y"), F.col(label).alias("pred"), F.array(F.lit(1.0)).alias("proba"))
+
+    monkeypatch.setattr(reference, "leave_one_group_out", spy)
+    spark.createDataFrame([(i, [float(i + j) for j in range(64)], i % 3) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert reference.attribution_loso(spark, str(tmp_path)).count() == 20
+    m = got["model"]
+    assert len(got["features"]) == 64 and (m.trees, m.depth, m.calibrate) == (300, 10, True)
+    first = got["rows"].filter("f00 = 4").first()
+    assert [first[f] for f in got["features"]] == [4.0 + j for j in range(64)] and got["rows"].select("grp").distinct().count() == 5
+
+
 def test_benign(spark):
     lines = ["1,u,u,C1,C1,K,N,LogOn,Success", "2,u,u,C1,C2,K,N,LogOn,Failure", "3,short"]
     assert benign.auth_features(spark.createDataFrame([(x,) for x in lines], "value string")).first().features == {"auth_count": 2.0, "auth_fail": 1.0, "remote_auth": 1.0}
