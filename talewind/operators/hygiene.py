@@ -49,11 +49,11 @@ class Hygiene:
 
 
 def correlations(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pearson matrix; undefined ones are 0.  Columns-by-columns in size."""
+    """Pearson matrix; undefined ones are 0.  Nulls and NaN count as 0, as in training.  Columns-by-columns in size."""
     if len(columns) < 2 or rows.isEmpty():
         return np.eye(len(columns))
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    v = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(rows.select(*(F.col(c).cast("double").alias(c) for c in columns))).select("v")
+    v = VectorAssembler(inputCols=columns, outputCol="v").transform(rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.fill(0.0)).select("v")
     return np.nan_to_num(Correlation.corr(v, "v").first()[0].toArray())

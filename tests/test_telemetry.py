@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talewind.operators import benign, evaluate, features, graph, labels, parse, retrieval, sessions, transitions, twin, ueba
 from talewind.operators.attribution import Attribution, leave_one_group_out, serve
-from talewind.operators.hygiene import Hygiene
+from talewind.operators.hygiene import Hygiene, correlations
 from talewind.plans import reference
 from talewind.sources import files
 from talewind.streaming.telemetry import gap_sessions, running_scores
@@ -186,6 +186,14 @@ def test_hygiene(spark):
         Hygiene().transform(df)
 
 
+def test_correlations_keep_rows_with_nulls(spark):
+    rows = [(float(i), float(2 * i), None) for i in range(1, 9)] + [(0.0, float("nan"), 5.0), (float("nan"), None, 6.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    want = np.corrcoef(np.array([[0.0 if v is None or v != v else v for v in r] for r in rows]).T)
+    assert np.allclose(correlations(df, ["a", "b", "c"]), want)
+    assert Hygiene().fit(df, df.columns).correlated == ["b"]
+
+
 def test_metrics(spark):
     p = spark.createDataFrame([("a", [0.9, 0.1]), ("b", [0.2, 0.8])], "y string, proba array<double>").withColumn("pred", evaluate.predicted(["a", "b"]))
     assert evaluate.top_k(p, ["a", "b"], 1).first()[0] == 1.0 and evaluate.macro(p).first().macro_f1 == 1.0
