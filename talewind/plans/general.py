@@ -45,6 +45,11 @@ def p1_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     return _tree(spark, sf).select(F.col("k").alias("proc_key"), "depth", F.col("root").alias("root_key"), "descendants")
 
 
+def p1_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Which processes lie below one: those of the same root with an ``enter`` between its ``enter`` and ``leave``."""
+    return _tree(spark, sf).select(F.col("k").alias("proc_key"), F.col("root").alias("root_key"), "enter", "leave")
+
+
 # ---- 2: sessions ----------------------------------------------------------------------------------------------
 def session_rows(spark: SparkSession, sf: str) -> DataFrame:
     """``(seq, ts_us, host, logon, batch_id)`` of the events that have a time and a host."""
@@ -108,7 +113,7 @@ def p5_features(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("host", "event_id", F.col("f.n").alias("n_rows"), F.unix_micros("f.latest").alias("latest_us"), F.col("f.total").cast("long").alias("total_bytes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p2_found": p2_found, "p2_sessions": p2_sessions, "p4_found": p4_found, "p5_found": p5_found, "p5_features": p5_features}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_intervals": p1_intervals, "p2_found": p2_found, "p2_sessions": p2_sessions, "p4_found": p4_found, "p5_found": p5_found, "p5_features": p5_features}
 
 _HOST = r"nullif(lower(regexp_replace(split_part(regexp_replace({0}, '^\s+', ''), '.', 1), '\s+$', '')), '')"
 _HEX = "regexp_replace(lower({0}), '[^0-9a-f]', '', 'g')"

@@ -24,6 +24,18 @@ def test_agreement_with_sql(spark):
     assert main(SF, list(CORE)) == 0
 
 
+@needs_data
+def test_intervals_hold_the_descendants(spark):
+    qs = entry.queries()
+    paths = {r.proc_key: r.path.split("/") for r in qs["p1_found"](spark, SF).collect() if r.path != "cycle"}
+    got = [r for r in qs["p1_intervals"](spark, SF).collect() if r.root_key is not None]
+    by_root = {}
+    for r in got:
+        by_root.setdefault(r.root_key, []).append(r)
+    below = {(str(a.proc_key), str(b.proc_key)) for t in by_root.values() for a in t for b in t if a.enter < b.enter < a.leave}
+    assert below and below == {(a, str(k)) for k, p in paths.items() for a in p[:-1]}
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
