@@ -376,7 +376,7 @@ def attribution_loso(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incident_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain: parse, sessions, features, anomaly, attribution (no model yet), one JSON document per session."""
+    """Parse, sessions, features, anomaly (untrained forest), attribution (no model), one JSON document per session; the stages after attribution are left out."""
     f, _ = _ueba_sessions(spark, sf)
     z = serve(None, ueba.scores(ueba.zscores(f, "host", ["start", "kind_rank", "session"], UEBA, "day"), UEBA))
     body = F.to_json(F.struct("host", "start", "end", "n_events", F.struct("score", "is_anomalous", "contributing").alias("anomaly"), F.struct("status", "technique", "confidence").alias("attribution")))
