@@ -1,13 +1,14 @@
 """Evaluation passages inside a training corpus, by suffix arrays over shards of the corpus.
 
-Every task sorts the word suffixes of its shard of whole texts; every suffix of every evaluation item is looked up by
-binary search, which gives all places where its first words occur and its longest verbatim match.  Nothing of the
+Every task sorts the word suffixes of its shard of whole texts once; every suffix of every evaluation item is looked up
+by binary search, which gives all places where its first words occur, and extended there to its longest verbatim match.  Nothing of the
 corpus leaves a task but the matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -67,102 +68,142 @@ def suffix_array(code: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def _compare(code: np.ndarray, at: np.ndarray, wanted: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sign of (corpus suffix - wanted words) over the wanted length, and the number of common leading words."""
-    width = wanted.shape[1]
-    got = code[np.minimum(at[:, None] + np.arange(width), len(code) - 1)]
-    got = np.where(at[:, None] + np.arange(width) < len(code), got, -1)
-    inside = np.arange(width) < lengths[:, None]
-    differs = (got != wanted) & inside
-    first = np.where(differs.any(1), differs.argmax(1), lengths)
-    i = np.minimum(first, width - 1)
-    rows = np.arange(len(at))
-    sign = np.where(first < lengths, np.sign(got[rows, i].astype(np.int64) - wanted[rows, i]), 0)
-    return sign, first
+@dataclass
+class Items:
+    """Evaluation items as words: ``ids[i]`` has the words ``flat[start[i] : start[i + 1]]``."""
 
+    ids: np.ndarray
+    flat: list[str]
+    start: np.ndarray
 
-def _search(code: np.ndarray, sa: np.ndarray, wanted: np.ndarray, lengths: np.ndarray, right: bool) -> np.ndarray:
+    @classmethod
+    def of(cls, rows: list[tuple[int, str]]) -> Items:
+        flat, owner = words(pa.array([t for _, t in rows], pa.large_string()))
+        return cls(np.array([i for i, _ in rows], np.int64), flat.to_pylist(), np.searchsorted(owner, np.arange(len(rows) + 1)))
+
+
+def _sign(code: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Sign of (corpus suffix at ``at`` - its row of ``wanted`` words); a suffix that ends within them is smaller."""
+    sign, todo = np.zeros(len(at), np.int64), np.arange(len(at))
+    for j in range(wanted.shape[1]):
+        x = at[todo] + j
+        d = np.where(x < len(code), code[np.minimum(x, len(code) - 1)], -1) - wanted[todo, j]
+        sign[todo] = np.sign(d)
+        todo = todo[d == 0]
+    return sign
+
+
+def _search(code: np.ndarray, sa: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
     """Binary search of all wanted word sequences at once: first place not below (``right``: not at or below) them."""
     lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(sa), np.int64)
-    while (todo := lo < hi).any():
-        mid = (lo + hi) // 2
-        sign, _ = _compare(code, sa[np.minimum(mid, len(sa) - 1)], wanted, lengths)
+    while (todo := np.flatnonzero(lo < hi)).size:
+        mid = (lo[todo] + hi[todo]) // 2
+        sign = _sign(code, sa[mid], wanted[todo])
         below = (sign <= 0) if right else (sign < 0)
-        lo, hi = np.where(todo & below, mid + 1, lo), np.where(todo & ~below, mid, hi)
+        lo[todo[below]] = mid[below] + 1
+        hi[todo[~below]] = mid[~below]
     return lo
 
 
-def match_shard(doc_ids: np.ndarray, texts: pa.Array, item_ids: np.ndarray, item_words: list[list[str]], least: int) -> pd.DataFrame:
-    """The matches of at least ``least`` words of one shard: one row per document and item, with the longest and its place."""
-    flat, owner = words(texts)
-    empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc_id", "item_id", "longest", "item_word", "doc_word")})
-    if not len(flat):
-        return empty
-    coded = flat.combine_chunks().dictionary_encode() if isinstance(flat, pa.ChunkedArray) else flat.dictionary_encode()
-    number = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
-    raw = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    # a separator of its own between texts keeps matches inside one text
-    ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
-    code = np.insert(raw, ends, len(number) + np.arange(len(ends)))
-    who = np.insert(owner, ends, -1)
-    begin = np.concatenate([[0], ends[:-1] + np.arange(1, len(ends))])
-    text_start = np.zeros(len(texts), np.int64)
-    text_start[owner[ends - 1]] = begin
-    items = [(i, np.array([number.get(w, -2) for w in ws], np.int64)) for i, ws in zip(item_ids, item_words) if len(ws) >= least]
-    if not items:
-        return empty
-    width = max(len(ws) for _, ws in items)
-    sa = suffix_array(code, width)
-    rows = [(i, k, ws[k:]) for i, ws in items for k in range(len(ws) - least + 1)]
-    found = []
-    for s in range(0, len(rows), 4096):
-        part = rows[s : s + 4096]
-        want = np.full((len(part), width), -3, np.int64)
-        full = np.array([len(w) for _, _, w in part], np.int64)
-        for r, (_, _, w) in enumerate(part):
-            want[r, : len(w)] = w
-        short = np.full(len(part), least, np.int64)
-        lo, hi = _search(code, sa, want, short, False), _search(code, sa, want, short, True)
-        size = hi - lo
-        hit = np.flatnonzero(size)
-        if not len(hit):
-            continue
-        q = np.repeat(hit, size[hit])
-        at = np.concatenate([np.arange(lo[h], hi[h]) for h in hit])
-        pos = sa[at]
-        _, common = _compare(code, pos, want[q], full[q])
-        text = who[pos]
-        found.append(pd.DataFrame({
-            "doc_id": doc_ids[text], "item_id": np.array([part[x][0] for x in q], np.int64), "longest": common,
-            "item_word": np.array([part[x][1] for x in q], np.int64), "doc_word": pos - text_start[text]}))
-    if not found:
-        return empty
-    got = pd.concat(found, ignore_index=True).sort_values(["doc_id", "item_id", "longest", "item_word", "doc_word"], ascending=[True, True, False, True, True], kind="stable")
-    return got.drop_duplicates(["doc_id", "item_id"])
-
-
-def leaks(documents: DataFrame, items: DataFrame, least: int = 12, shard_chars: int = SHARD_CHARS, item_block: int = 5_000) -> DataFrame:
+def _extend(code: np.ndarray, pos: np.ndarray, item: np.ndarray, at: np.ndarray, end: np.ndarray, known: int) -> np.ndarray:
+    """Number of common words from ``pos`` in the corpus and ``at`` in the items, up to ``end``; ``known`` are common already."""
+    common, todo, step = np.full(len(pos), known, np.int64), np.arange(len(pos)), np.arange(16)
+    while len(todo):
+        x, y = pos[todo] + common[todo], at[todo] + common[todo]
+        inside = (y[:, None] + step < end[todo, None]) & (x[:, None] + step < len(code))
+        same = inside & (code[np.minimum(x[:, None] + step, len(code) - 1)] == item[np.minimum(y[:, None] + step, len(item) - 1)])
+        more = np.where(same.all(1), len(step), (~same).argmax(1))
+        common[todo] += more
+        todo = todo[more == len(step)]
+    return common
+
+
+def _best(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """One row per document and item: the longest match, the first of equals."""
+    got = pd.concat(frames, ignore_index=True).sort_values(_ROW, ascending=[True, True, False, True, True], kind="stable")
+    return got.drop_duplicates(["text", "item"])
+
+
+_ROW = ["text", "item", "longest", "item_word", "doc_word"]
+
+
+class Shard:
+    """Suffix array of the words of some whole texts, sorted to the depth of the shortest match that counts."""
+
+    def __init__(self, texts: pa.Array, least: int):
+        self.least, self.n_texts = least, len(texts)
+        flat, owner = words(texts)
+        coded = flat.combine_chunks().dictionary_encode() if isinstance(flat, pa.ChunkedArray) else flat.dictionary_encode()
+        self.number = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+        raw = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # a separator of its own between texts keeps matches inside one text
+        ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1 if len(owner) else np.empty(0, np.int64)
+        self.code = np.insert(raw, ends, len(self.number) + np.arange(len(ends)))
+        self.who = np.insert(owner, ends, -1)
+        self.text_start = np.zeros(self.n_texts, np.int64)
+        if len(ends):
+            self.text_start[owner[ends - 1]] = np.concatenate([[0], ends[:-1] + np.arange(1, len(ends))])
+        self.sa = suffix_array(self.code, least)
+
+    def match(self, items: Items, queries: int = 4_096, hits: int = 100_000) -> pd.DataFrame:
+        """Matches of at least ``least`` words as ``(text, item, longest, item_word, doc_word)``; ``item`` is a position.
+
+        Item suffixes are searched ``queries`` at a time and their places taken ``hits`` at a time, so memory does not
+        depend on how often a passage occurs.  A place whose word before matches too is part of a longer match of
+        the suffix before, so only the others are extended.
+        """
+        item = np.fromiter((self.number.get(w, -2) for w in items.flat), np.int64, len(items.flat))
+        size = np.diff(items.start)
+        n = np.maximum(0, size - self.least + 1)
+        owner = np.repeat(np.arange(len(size)), n)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        every = items.start[:-1][owner] + offset
+        found, rows = [pd.DataFrame({c: pd.Series(dtype="int64") for c in _ROW})], 0
+        for s in range(0, len(every) if len(self.code) else 0, queries):
+            at, own, off = every[s : s + queries], owner[s : s + queries], offset[s : s + queries]
+            wanted = item[at[:, None] + np.arange(self.least)]
+            seen = np.flatnonzero((wanted >= 0).all(1))  # a word the shard lacks can't match
+            lo, hi = _search(self.code, self.sa, wanted[seen], False), _search(self.code, self.sa, wanted[seen], True)
+            total = np.cumsum(hi - lo)
+            for h in range(0, int(total[-1]) if len(total) else 0, hits):
+                flat = np.arange(h, min(h + hits, int(total[-1])))
+                i = np.searchsorted(total, flat, side="right")
+                q = seen[i]
+                pos = self.sa[hi[i] - (total[i] - flat)]
+                before = (off[q] > 0) & (pos > 0)
+                before &= self.code[np.maximum(pos - 1, 0)] == item[np.maximum(at[q] - 1, 0)]
+                q, pos = q[~before], pos[~before]
+                if not len(q):
+                    continue
+                common = _extend(self.code, pos, item, at[q], items.start[own[q] + 1], self.least)
+                text = self.who[pos]
+                found.append(_best([pd.DataFrame({"text": text, "item": own[q], "longest": common, "item_word": off[q], "doc_word": pos - self.text_start[text]})]))
+                rows += len(found[-1])
+                if rows > 2_000_000:  # what is kept is one row per text and item
+                    found = [_best(found)]
+                    rows = 0
+        return _best(found)
+
+
+def leaks(documents: DataFrame, items: DataFrame, least: int = 12, shard_chars: int = SHARD_CHARS, item_pass: int = 200_000) -> DataFrame:
     """``(doc_id, item_id, longest, item_word, doc_word)`` for ``(doc_id, text)`` and ``(item_id, text)``.
 
     One row per document and item that share at least ``least`` consecutive words: the longest common sequence and
     where it starts in either (the first of equals).  Null and empty texts and items of fewer words match nothing;
-    several documents of one id give one row for each text.  Items are sent to the tasks in blocks of ``item_block``
-    (a stated query set: it does not grow with the corpus), so their number is not limited either.
+    several documents or items of one id give one row for each text.  The items are a stated query set that does not
+    grow with the corpus: they are sent to the tasks ``item_pass`` at a time, and each shard's suffix array is built
+    once for all items of a pass.
     """
     tagged = items.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator(prefetchPartitions=False)
-    blocks: list[list[tuple[int, str]]] = [[]]
+    passes: list[list[tuple[int, str]]] = [[]]
     for r in tagged:
-        if len(blocks[-1]) >= item_block:
-            blocks.append([])
-        blocks[-1].append((r.item_id, r.text))
+        if len(passes[-1]) >= item_pass:
+            passes.append([])
+        passes[-1].append((r.item_id, r.text))
     docs = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def against(block: list[tuple[int, str]]):
-        ids = np.array([i for i, _ in block], np.int64)
-        flat, owner = words(pa.array([t for _, t in block], pa.large_string()))
-        lists: list[list[str]] = [[] for _ in block]
-        for w, o in zip(flat.to_pylist(), owner):
-            lists[o].append(w)
+    def against(rows: list[tuple[int, str]]) -> DataFrame:
+        wanted = Items.of(rows)
 
         def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
@@ -180,15 +221,17 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12, shard_chars:
 
         def search(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            got = match_shard(t["doc_id"].to_numpy(), t["text"].combine_chunks(), ids, lists, least)
-            out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("item_word", pa.int32()), ("doc_word", pa.int32())])
-            return pa.Table.from_pandas(got, preserve_index=False).cast(out).to_batches()
+            got = Shard(t["text"].combine_chunks(), least).match(wanted)
+            out = pa.table({
+                "doc_id": t["doc_id"].take(pa.array(got["text"].to_numpy(np.int64))), "item_id": pa.array(wanted.ids[got["item"].to_numpy(np.int64)]),
+                **{c: pa.array(got[c].to_numpy(), pa.int32()) for c in ("longest", "item_word", "doc_word")}})
+            return out.combine_chunks().to_batches(max_chunksize=50_000)
 
         return docs.mapInArrow(shard, _MATCH)
 
     found = None
-    for block in blocks:
-        one = against(block)
+    for rows in passes:
+        one = against(rows)
         found = one if found is None else found.unionByName(one)
     return found
 
