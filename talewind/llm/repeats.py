@@ -164,7 +164,8 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
     rows = rows.repartitionByRange(partitions(spark), "entity", "ts_us", "step").sortWithinPartitions("entity", "ts_us", "step").withColumn("part", F.spark_partition_id())
 
     def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, part, order, first = None, 0, 0, True
+        held: list[pd.DataFrame] = []  # elements of the stretch that is still open
+        part, order, first = 0, 0, True
 
         def out(df: pd.DataFrame, place: str) -> pd.DataFrame:
             nonlocal order
@@ -172,25 +173,30 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
             order += len(df)
             return df[["part", "place", "ord", *_COLS]]
 
+        def closed(el: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            cuts = np.zeros(len(el), bool)
+            cuts[starts] = True
+            return out(_closed(el, cuts, limit, gap_us), "inside")
+
         for pdf in filter(len, frames):
             part = int(pdf["part"].iloc[0])
             one = pd.DataFrame({"entity": pdf["entity"], "first_step": pdf["step"], "last_step": pdf["step"], "n": 1, "start_us": pdf["ts_us"], "end_us": pdf["ts_us"], "event_id": pdf["event_id"].astype("Int64"), "program": pdf["program"].astype(object).where(pdf["program"].notna(), None)})
-            el = _collapse(one if held is None else pd.concat([held, one], ignore_index=True), gap_us)
+            if held:  # only the last open element can go on
+                last = held.pop()
+                one = pd.concat([last.iloc[-1:], one], ignore_index=True)
+                if len(last) > 1:
+                    held.append(last.iloc[:-1])
+            el = _collapse(one, gap_us)
             starts = np.flatnonzero(_borders(el.astype({"event_id": object}).where(el.notna(), None), limit, gap_us))
-            if first:
-                if len(starts) == 1:  # still inside the stretch that touches the task's front
-                    held = el
-                    continue
-                yield out(el.iloc[: starts[1]], "head")
-                first, el, starts = False, el.iloc[starts[1] :].reset_index(drop=True), starts[1:] - starts[1]
             if len(starts) > 1:
-                done = el.iloc[: starts[-1]]
-                cuts = np.zeros(len(done), bool)
-                cuts[starts[:-1]] = True
-                yield out(_closed(done, cuts, limit, gap_us), "inside")
-            held = el.iloc[starts[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield out(held, "whole" if first else "tail")
+                whole = pd.concat([*held, el.iloc[: starts[1]]], ignore_index=True)
+                yield out(whole, "head") if first else closed(whole, starts[:1])
+                if len(starts) > 2:
+                    yield closed(el.iloc[starts[1] : starts[-1]].reset_index(drop=True), starts[1:-1] - starts[1])
+                first, held = False, []
+            held.append(el.iloc[starts[-1] :].reset_index(drop=True))
+        if held:
+            yield out(pd.concat(held, ignore_index=True), "whole" if first else "tail")
 
     got = spool.cut(rows.mapInPandas(inside, _OUT), "runs")
     edge = got.filter("place <> 'inside'")
