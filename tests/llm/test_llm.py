@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from talewind.llm import encoding, leakage, packing, repeats, splits
+from talewind.spool import Spool
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 # ---- splits
@@ -36,7 +42,7 @@ def test_runs_of_equal_groups_are_settled_like_one_by_one():
         a, b = splits.assign(sizes, (0.8, 0.1, 0.1)), naive(sizes, (0.8, 0.1, 0.1))
         assert [sum(x) for x in a] == [n for _, n in sizes]
         load = lambda took: [sum(s * t[i] for (s, _), t in zip(sizes, took)) for i in range(3)]
-        assert max(abs(x - y) for x, y in zip(load(a), load(b))) <= sizes[0][0]
+        assert load(a) == load(b)
 
 
 def test_splits_keep_groups_whole_and_meet_shares(spark, spool):
@@ -88,6 +94,18 @@ def test_runs_against_brute_force(spark, spool, limit, gap):
     assert got == brute_runs(rows, limit, None if gap is None else gap * 1_000_000)
 
 
+def test_stretches_of_near_identical_events_over_batches_and_tasks(spark, spool):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        rng = random.Random(1)
+        rows = [("e", i * 1_000_000, i, rng.choice([1, 1, 2]), rng.choice(["cmd.exe", "cmd64.exe", "cmd.exe", "zz"][: 3 + (i % 97 == 0)])) for i in range(300)]
+        df = spark.createDataFrame(rows, "entity string, ts_us long, step long, event_id int, program string")
+        got = {(r.first_step, r.last_step, r.n, r.start_us, r.end_us) for r in repeats.collapse_runs(df, spool, 0.5).collect()}
+        assert got == brute_runs(rows, 0.5, None)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_no_events(spark, spool):
     assert repeats.collapse_runs(spark.createDataFrame([], "entity string, ts_us long, step long, event_id int, program string"), spool).count() == 0
 
@@ -142,7 +160,7 @@ def test_leaks_against_brute_force(spark):
     docs = [(i, ", ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(100, None), (101, ""), (102, "BETA-ze_beta"), (103, "e5 " * 3000)]
     a, b = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
     want = brute_leaks(docs, items, 3)
-    for kw in ({}, {"shard_chars": 300, "item_block": 5}):
+    for kw in ({}, {"shard_chars": 300, "item_pass": 5}):
         got = leakage.leaks(a, b, 3, **kw)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == want and want
     left = {r.doc_id for r in leakage.without_leaks(a, leakage.leaks(a, b, 3)).collect()}
@@ -150,6 +168,30 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(a.limit(0), b, 3).count() == 0 and leakage.leaks(a, b.limit(0), 3).count() == 0
 
 
+def test_a_passage_in_very_many_texts_needs_little_memory():
+    code = """
+import resource
+import pyarrow as pa
+from talewind.llm.leakage import Items, Shard
+passage = " ".join(f"w{i}" for i in range(30))
+item = " ".join(f"v{i}" for i in range(200)) + f" {passage} " + " ".join(f"u{i}" for i in range(200))
+got = Shard(pa.array([f"{i} a{i} {passage} c{i}" for i in range(50_000)], pa.large_string()), 12).match(Items.of([(5, item), (6, passage)]))
+assert len(got) == 100_000 and set(got["longest"]) == {30} and set(got["item_word"]) == {0, 200}
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_000_000
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_any_slices_give_the_same_matches():
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    shard = leakage.Shard(pa.array([text(rng.randrange(0, 80)) for _ in range(40)], pa.large_string()), 4)
+    items = leakage.Items.of([(i, text(rng.randrange(0, 30))) for i in range(15)])
+    whole = shard.match(items)
+    rows = lambda d: sorted(map(tuple, d.to_numpy().tolist()))
+    assert len(whole) and rows(whole) == rows(shard.match(items, queries=3, hits=7))
+
+
 def test_longest_match_and_place(spark):
     docs = spark.createDataFrame([(1, "x y one two three four five z")], "doc_id long, text string")
     items = spark.createDataFrame([(2, "zero one two three four five six")], "item_id long, text string")
@@ -193,6 +235,66 @@ def test_garbled_texts_are_found_and_restored(spark, spool):
     assert {r.doc_id for r in encoding.garbled_documents(docs, spool).collect()} == set(got)
 
 
+def mixed(rng, n, words):
+    """Clean texts of ``words`` and, among every ten, one with a garbled sentence."""
+    rows, bad = [], set()
+    for i in range(n):
+        text = " ".join(rng.choice(CLEAN) for _ in range(3)) + " " + " ".join(rng.choice(words) for _ in range(3))
+        if i % 10 == 3:
+            passage = rng.choice(CLEAN[:5])
+            options = [c for c in encoding.CHAINS if (g := encoding.garble(passage, c)) is not None and g != passage and encoding.undo(g, c) == passage]
+            text, _ = f"{text} {encoding.garble(passage, rng.choice(options))}", bad.add(i)
+        rows.append((i, text))
+    return rows, bad
+
+
+def test_margin_is_validated_on_held_out_documents(spark):
+    """The margin follows the data; on held-out documents precision and recall are at least 0.9, and so is recall of the common chains."""
+    margins = []
+    for words in (["vielleicht"], [f"{a}≈{b}µ" for a in "abcdefgh" for b in "stuvwxyz"] + ["ˆ±", "≠‰"]):
+        rows, bad = mixed(random.Random(7), 500, words)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = encoding.garbled_words(docs, Spool(spark, "test"))
+        got = {r.doc_id for r in found.each.join(found.words, ["word", "fold"], "left_semi").collect()}
+        assert len(got & bad) >= 0.9 * len(got) and len(got & bad) >= 0.9 * len(bad)
+        assert found.margin.wrongly_found <= 1e-4 and found.margin.low <= found.margin.margin
+        share = encoding.restored_share(found).filter("n >= 20").collect()
+        assert share and sum(r.share * r.n for r in share) >= 0.9 * sum(r.n for r in share)
+        margins.append(found.margin.margin)
+    assert margins[0] != margins[1]
+
+
+def test_settled_margin():
+    clean, garbled = np.zeros(2001, np.int64), np.zeros(2001, np.int64)
+    clean[[0, 30, 50]], garbled[[20, 150, 300]] = (90, 9, 1), (5, 5, 90)
+    m = encoding.settle(clean, garbled, 0.0, 0.9)
+    assert (m.low, m.high, m.margin, m.wrongly_found, m.found_of_garbled) == (5.0, 29.9, 17.4, 0.0, 0.9)
+    assert encoding.settle(clean, garbled, 0.01, 0.9).low == 3.0
+    assert encoding.settle(garbled, clean, 0.0, 0.9).margin == 30.0  # nothing does both: few wrong finds come first
+    none = np.zeros(2001, np.int64)
+    assert encoding.settle(none, none, 0.0, 0.9).margin == 0.0 and encoding.settle(clean, none, 0.0, 0.9).margin == 5.0
+    assert encoding.balanced(clean, garbled) == encoding.balanced(clean + np.bincount([900], minlength=2001) * 8, garbled) == 5.0
+
+
+def test_odd_blanks_are_no_evidence(spark, spool):
+    rows = [(i, " ".join(random.Random(i).choice(CLEAN) for _ in range(3))) for i in range(200)] + [(500, CLEAN[0].replace(" ", "\xa0")), (501, "Nur\u2009ein\u3000Wort.")]
+    assert encoding.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string"), spool).count() == 0
+
+
+def test_texts_of_one_id_and_without_id(spark, spool):
+    rows = [(i, " ".join(random.Random(i).choice(CLEAN) for _ in range(3))) for i in range(300)]
+    bad = encoding.garble(CLEAN[0], (("cp1252", "utf-8"),))
+    rows += [(5, bad), (5, bad), (None, bad), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in encoding.garbled_documents(docs, spool).collect()} == {5, None}
+    assert sorted(r.text == CLEAN[0] for r in encoding.restore(docs, spool).collect() if r.doc_id == 5) == [False, True, True]
+
+
+def test_only_garbled_texts(spark, spool):
+    got = encoding.garbled_documents(spark.createDataFrame([(1, "GrÃ¶ÃŸe"), (2, "\ufffd")], "doc_id long, text string"), spool)
+    assert 2 in {r.doc_id for r in got.collect()}  # nothing clean to learn from: the rest is undefined but for lost characters
+
+
 def test_no_texts(spark, spool):
     assert encoding.garbled_documents(spark.createDataFrame([], "doc_id long, text string"), spool).count() == 0
 
