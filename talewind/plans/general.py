@@ -10,7 +10,7 @@ from talewind.operators.hierarchy import hierarchy
 from talewind.operators.redelivery import SeenMessages, identified
 from talewind.operators.session_store import SessionStore, batches, local_sessions
 from talewind.sources.tables import table
-from talewind.spool import Spool
+from talewind.spool import Spool, small
 
 
 # ---- 1: hierarchies -------------------------------------------------------------------------------------------
@@ -66,11 +66,11 @@ def logon_users(spark: SparkSession, sf: str) -> DataFrame:
 def stored_sessions(spark: SparkSession, sf: str, gap_s: int = 300, rounds: int = 3) -> DataFrame:
     """The session table after all batches of ``canonical_events`` have been taken in."""
     sp = Spool(spark, "p2")
-    store, users = SessionStore(sp, gap_s), sp.cut(logon_users(spark, sf), "users")
+    store, users = SessionStore(Spool(spark, "p2-store"), gap_s), sp.cut(logon_users(spark, sf), "users")
     key = F.when(F.col("sid").isNotNull(), F.concat_ws("|", "host", F.lit("user"), "sid")).when(F.col("logon").isNotNull(), F.concat_ws("|", "host", F.lit("logon"), "logon")).otherwise(F.concat_ws("|", "host", F.lit("device")))
-    for batch in batches(session_rows(spark, sf), "batch_id", rounds):
-        local = local_sessions(batch, ["host", "logon"], gap_s).join(users, ["host", "logon"], "left")
-        store.ingest(local.select(key.alias("key"), "start_us", "end_us", "min_seq", "max_seq", "n_events"))
+    for i, batch in enumerate(batches(session_rows(spark, sf), "batch_id", rounds)):
+        local = local_sessions(batch, ["host", "logon"], gap_s).join(small(users), ["host", "logon"], "left")
+        store.ingest(local.select(key.alias("key"), "start_us", "end_us", "min_seq", "max_seq", "n_events"), i)
     return store.read()
 
 
@@ -86,8 +86,8 @@ def p2_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf: str, rounds: int = 2) -> DataFrame:
     seen = SeenMessages(Spool(spark, "p4"))
     ev = table(spark, sf, "canonical_events")
-    for batch in batches(ev, "batch_id", rounds):
-        seen.ingest(identified(batch))
+    for i, batch in enumerate(batches(ev, "batch_id", rounds)):
+        seen.ingest(identified(batch), i)
     return seen.copies()
 
 

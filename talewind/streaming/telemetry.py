@@ -42,6 +42,10 @@ def running_scores(events: DataFrame, entity: str, value: str) -> DataFrame:
     return typed.groupBy(entity).applyInPandasWithState(step, "entity string, n long, value double, z double", "n long, mean double, m2 double", "append", GroupStateTimeout.NoTimeout)
 
 
-def each_batch(stream: DataFrame, take: Callable[[DataFrame], None], checkpoint: str):
-    """Run ``take`` on every micro-batch once; with an idempotent commit such as the session store's, exactly once."""
-    return stream.writeStream.foreachBatch(lambda df, _: take(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def each_batch(stream: DataFrame, take: Callable[[DataFrame, int], object], checkpoint: str):
+    """Run ``take(rows, batch number)`` on every micro-batch.
+
+    A batch may be run again after a failure.  The stores leave out a batch number they have taken in, so
+    ``take=store.ingest`` makes every batch count exactly once.
+    """
+    return stream.writeStream.foreachBatch(lambda df, i: (take(df, i), None)[1]).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
