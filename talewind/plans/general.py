@@ -97,7 +97,7 @@ def typed_events(spark: SparkSession, sf: str) -> DataFrame:
     raw, bytes_ = F.col("raw_event"), F.col("raw_event")["PayloadBytes"]
     return table(spark, sf, "canonical_events").select(
         host_key(F.col("host")).alias("entity"), F.coalesce(F.col("event_id").cast("long"), strip(raw["EventID"]).try_cast("long")).alias("kind"),
-        F.unix_micros("timestamp").alias("ts_us"), F.when(bytes_.rlike("^[0-9]+$"), bytes_.try_cast("decimal(38,0)")).alias("amount"))
+        F.unix_micros("timestamp").alias("ts_us"), F.when(bytes_.rlike("^[0-9]+$"), bytes_).alias("amount"))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_features(spark: SparkSession, sf: str) -> DataFrame:
     f = _features(spark, sf).select(F.col("entity").alias("host"), F.explode("features").alias("event_id", "f"))
-    return f.select("host", "event_id", F.col("f.n").alias("n_rows"), F.unix_micros("f.latest").alias("latest_us"), F.col("f.total").cast("long").alias("total_bytes"))
+    return f.select("host", "event_id", F.col("f.n").alias("n_rows"), F.unix_micros("f.latest").alias("latest_us"), F.col("f.total").try_cast("long").alias("total_bytes"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_intervals": p1_intervals, "p2_found": p2_found, "p2_sessions": p2_sessions, "p4_found": p4_found, "p5_found": p5_found, "p5_features": p5_features}
@@ -176,6 +176,6 @@ r as (select a v, b w from s union select r.v, s.b from r join s on s.a = r.w)
 select min(w) kept_seq, v dup_seq from r group by v having min(w) < v""",
     "p5_found": f"select distinct {_host('host')} host, cast({_EVENT_KIND} as bigint) event_id from canonical_events where {_host('host')} is not null and {_EVENT_KIND} is not null",
     "p5_features": f"""select {_host('host')} host, cast({_EVENT_KIND} as bigint) event_id, count(*) n_rows, max(epoch_us(timestamp)) latest_us,
-cast(coalesce(sum(case when regexp_full_match(raw_event['PayloadBytes'], '[0-9]+') then cast(raw_event['PayloadBytes'] as hugeint) end), 0) as bigint) total_bytes
+try_cast(coalesce(sum(case when regexp_full_match(raw_event['PayloadBytes'], '[0-9]+') then cast(raw_event['PayloadBytes'] as hugeint) end), 0) as bigint) total_bytes
 from canonical_events where {_host('host')} is not null and {_EVENT_KIND} is not null group by all""",
 }
