@@ -2,7 +2,9 @@
 
 Leaves are peeled until only loops are left; loops are cut; the forest is walked as one Euler tour per tree, whose
 linked list is ranked in parallel (contraction inside blocks, then pointer doubling over the links between blocks).
-Entry and exit positions give depth and descendants; one ordered pass over the tours gives every path.
+Entry and exit positions give depth, descendants and, in one ordered pass over the tours, every path.  Groups all of
+whose trees lie inside them go through the same steps in one task each, while they are small; larger ones, and rows
+without groups, go through them distributed.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from talewind.spool import Spool, partitions
 
@@ -40,15 +42,15 @@ def peel(k: np.ndarray, p: np.ndarray, children: np.ndarray) -> np.ndarray:
     return stays
 
 
-def contract(elem: np.ndarray, succ: np.ndarray, hops: np.ndarray, weight: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Follow links inside these rows: the first element outside (or END, CUT), hops and weights until there, last element passed."""
+def contract(elem: np.ndarray, succ: np.ndarray, hops: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Follow links inside these rows: the first element outside (or END, CUT), hops until there, last element passed."""
     order = np.argsort(elem, kind="stable")
     n = len(elem)
     at = np.searchsorted(elem, succ, sorter=order)
     at = np.where(at < n, at, 0)
     nxt = np.where((succ >= 0) & (elem[order[at]] == succ), order[at], n) if n else np.empty(0, np.int64)
     nxt = np.append(nxt, n)
-    hops, weight, last, end = (np.append(x, y) for x, y in ((hops, 0), (weight, 0), (last, -1), (succ, -1)))
+    hops, last, end = (np.append(x, y) for x, y in ((hops, 0), (last, -1), (succ, -1)))
     for _ in range(int(n).bit_length() + 1):
         inner = nxt != n
         inner[n] = False
@@ -56,28 +58,27 @@ def contract(elem: np.ndarray, succ: np.ndarray, hops: np.ndarray, weight: np.nd
             break
         to = nxt[inner]
         hops[inner] += hops[to]
-        weight[inner] += weight[to]
         last[inner], end[inner] = last[to], end[to]
         nxt[inner] = nxt[to]
-    return end[:n], hops[:n], weight[:n], last[:n]
+    return end[:n], hops[:n], last[:n]
 
 
 def _contract_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    end, hops, weight, last = contract(*(pdf[c].to_numpy(np.int64) for c in ("elem", "succ", "hops", "weight", "last")))
-    return pd.DataFrame({"elem": pdf["elem"].to_numpy(), "succ": end, "hops": hops, "weight": weight, "last": last})
+    end, hops, last = contract(*(pdf[c].to_numpy(np.int64) for c in ("elem", "succ", "hops", "last")))
+    return pd.DataFrame({"elem": pdf["elem"].to_numpy(), "succ": end, "hops": hops, "last": last})
 
 
-_LINK = "elem long, succ long, hops long, weight long, last long"
+_LINK = "elem long, succ long, hops long, last long"
 
 
 def rank_lists(links: DataFrame, spool: Spool, task_rows: int) -> DataFrame:
-    """Ranks of linked lists given as ``(block, elem, succ, weight)``, ``succ`` END or CUT at a list's last element.
+    """Ranks of linked lists given as ``(block, elem, succ)``, ``succ`` END or CUT at a list's last element.
 
-    Gives ``(elem, succ, hops, weight, last)``: the list's end mark, the elements and the weights from here to the end
-    (this one included), and the list's last element.  Blocks hold at most about ``task_rows`` rows.
+    Gives ``(elem, succ, hops, last)``: the list's end mark, the elements from here to the end (this one included), and
+    the list's last element.  Blocks hold at most about ``task_rows`` rows.
     """
     local = spool.cut(
-        links.select("block", "elem", "succ", F.lit(1).cast("long").alias("hops"), F.col("weight").cast("long"), F.col("elem").alias("last"))
+        links.select("block", "elem", "succ", F.lit(1).cast("long").alias("hops"), F.col("elem").alias("last"))
         .groupBy("block").applyInPandas(_contract_frame, _LINK), "local-ranks")
     heads = local.filter("succ >= 0").select(F.col("succ").alias("elem")).distinct()
     if heads.isEmpty():
@@ -92,16 +93,16 @@ def rank_lists(links: DataFrame, spool: Spool, task_rows: int) -> DataFrame:
             new = spool.cut(
                 reduced.join(to, F.col("succ") == F.col("elem_"), "left").select(
                     "elem", F.coalesce("succ_", "succ").alias("succ"), (F.col("hops") + F.coalesce("hops_", F.lit(0))).alias("hops"),
-                    (F.col("weight") + F.coalesce("weight_", F.lit(0))).alias("weight"), F.coalesce("last_", "last").alias("last")), "doubling")
+                    F.coalesce("last_", "last").alias("last")), "doubling")
             spool.drop(reduced)
             reduced = new
             if reduced.filter("succ >= 0").isEmpty():
                 break
         whole = reduced
-    to = whole.select(*(F.col(c).alias(f"{c}_") for c in ("elem", "succ", "hops", "weight", "last")))
+    to = whole.select(*(F.col(c).alias(f"{c}_") for c in ("elem", "succ", "hops", "last")))
     return local.join(to, F.col("succ") == F.col("elem_"), "left").select(
         "elem", F.coalesce("succ_", "succ").alias("succ"), (F.col("hops") + F.coalesce("hops_", F.lit(0))).alias("hops"),
-        (F.col("weight") + F.coalesce("weight_", F.lit(0))).alias("weight"), F.coalesce("last_", "last").alias("last"))
+        F.coalesce("last_", "last").alias("last"))
 
 
 def loop_nodes(nodes: DataFrame, spool: Spool, task_rows: int) -> DataFrame:
@@ -160,34 +161,99 @@ def tour_links(nodes: DataFrame, spool: Spool) -> DataFrame:
     sib = with_sibling(kids, spool)
     first = kids.groupBy("p").agg(F.min("k").alias("first")).select(F.col("p").alias("k"), "first")
     n = nodes.join(sib.select("k", "nxt"), "k", "left").join(first, "k", "left")
-    enter = n.select("block", (F.col("k") * 2).alias("elem"), F.coalesce(F.col("first") * 2, F.col("k") * 2 + 1).alias("succ"), F.lit(1).alias("weight"))
+    enter = n.select("block", (F.col("k") * 2).alias("elem"), F.coalesce(F.col("first") * 2, F.col("k") * 2 + 1).alias("succ"))
     leave = n.select(
         "block", (F.col("k") * 2 + 1).alias("elem"),
-        F.coalesce(F.col("nxt") * 2, F.when(F.col("p") >= 0, F.col("p") * 2 + 1), F.when(F.col("cut"), F.lit(CUT)).otherwise(F.lit(END)).cast("long")).alias("succ"), F.lit(-1).alias("weight"))
+        F.coalesce(F.col("nxt") * 2, F.when(F.col("p") >= 0, F.col("p") * 2 + 1), F.when(F.col("cut"), F.lit(CUT)).otherwise(F.lit(END)).cast("long")).alias("succ"))
     return enter.unionByName(leave)
 
 
-def _stack_change(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per part of the tour: how many nodes it leaves that it never entered, and those it enters and never leaves."""
-    part, closed, opened = None, 0, []
+_NODE = "k long, root long, h_in long, h_out long, cycle boolean"
+_OUT = "k long, path string, depth int, root long, descendants long, enter long, leave long"
 
-    def row() -> pd.DataFrame:
-        return pd.DataFrame({"part": [part], "closed": [closed], "opened": [opened]})
 
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of :func:`hierarchy` from nodes in the order of their tours; nodes that are only ``open`` give none."""
+    tour, stack = None, []  # (leave position, path)
     for pdf in frames:
-        for at, e in zip(pdf["part"].tolist(), pdf["elem"].tolist()):
-            if at != part:
-                if part is not None:
-                    yield row()
-                part, closed, opened = at, 0, []
-            if not e & 1:
-                opened.append(e >> 1)
-            elif opened:
-                opened.pop()
-            else:
-                closed += 1
-    if part is not None:
-        yield row()
+        out = []
+        for k, root, h_in, h_out, cycle, open_ in zip(*(pdf[c].tolist() for c in ("k", "root", "h_in", "h_out", "cycle", "open"))):
+            if root != tour:
+                tour, stack = root, []
+            while stack and stack[-1][0] > h_in:
+                stack.pop()
+            path = "cycle" if cycle else f"{stack[-1][1]}/{k}" if stack else str(k)
+            if not open_:
+                out.append((k, path, None, None, None, None, None) if cycle else (k, path, len(stack), root, (h_in - h_out) // 2, -h_in, -h_out))
+            if not cycle:
+                stack.append((h_out, path))
+        got = pd.DataFrame(out, columns=["k", "path", "depth", "root", "descendants", "enter", "leave"])
+        yield got.astype(dict.fromkeys(("depth", "root", "descendants", "enter", "leave"), "Int64"))
+
+
+def local_tours(k: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+    """Nodes in the order of their tours, of rows that hold all of their trees; ``p`` -1 or unknown makes a root."""
+    order = np.argsort(k, kind="stable")
+    at = np.minimum(np.searchsorted(k, p, sorter=order), max(0, len(k) - 1))
+    up = np.where((p >= 0) & (k[order[at]] == p), order[at], -1) if len(k) else np.empty(0, np.int64)  # place of the parent
+    children = np.bincount(up[up >= 0], minlength=len(k)).astype(np.int64)
+    cut = peel(k, np.where(up >= 0, p, -1), children)
+    up = np.where(cut, -1, up)
+    # element 2i enters the node at place i, 2i + 1 leaves it
+    kids = np.flatnonzero(up >= 0)
+    kids = kids[np.lexsort((k[kids], up[kids]))]
+    enter, leave = 2 * np.arange(len(k)) + 1, np.full(len(k), END)
+    same = up[kids[1:]] == up[kids[:-1]]
+    leave[kids] = 2 * up[kids] + 1
+    leave[kids[:-1][same]] = 2 * kids[1:][same]
+    first = kids[np.append(True, ~same)] if len(kids) else kids
+    enter[up[first]] = 2 * first
+    elem = np.arange(2 * len(k))
+    succ = np.empty(2 * len(k), np.int64)
+    succ[0::2], succ[1::2] = enter, leave
+    _, hops, last = contract(elem, succ, np.ones(2 * len(k), np.int64), elem.copy())
+    root = last[0::2] // 2
+    nodes = pd.DataFrame({"k": k, "root": k[root], "h_in": hops[0::2], "h_out": hops[1::2], "cycle": cut[root], "open": False})
+    return nodes.iloc[np.lexsort((-nodes["h_in"].to_numpy(), nodes["root"].to_numpy()))]
+
+
+def distributed_hierarchy(raw: DataFrame, spool: Spool, block: Column, task_rows: int) -> DataFrame:
+    """:func:`hierarchy` of ``(k, p, grp)`` rows whose trees may lie anywhere; ``block`` says which rows meet in a task first."""
+    spark = spool.spark
+    known = raw.select(F.col("k").alias("p"), F.lit(True).alias("known"))
+    asked = raw.withColumn("p", F.when(F.col("p") >= 0, F.col("p")).otherwise(-1 - F.col("k")))  # rows without a parent have no key in common
+    base = asked.join(known, "p", "left").select("k", F.when(F.col("known"), F.col("p")).otherwise(F.lit(-1)).cast("long").alias("p"), "grp")
+    counts = base.filter("p >= 0").groupBy("p").agg(F.count("*").alias("children")).select(F.col("p").alias("k"), "children")
+    nodes = spool.cut(base.join(counts, "k", "left").select(block.alias("block"), "k", "p", F.coalesce("children", F.lit(0)).cast("long").alias("children")), "nodes")
+    loops = spool.cut(loop_nodes(nodes, spool, task_rows).withColumn("cut", F.lit(True)), "loops")
+    trees = nodes.join(loops, "k", "left").select("block", "k", F.when(F.col("cut"), F.lit(-1)).otherwise(F.col("p")).cast("long").alias("p"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    ranks = rank_lists(tour_links(spool.cut(trees, "trees"), spool), spool, task_rows)
+    # hops counts down to the tree's end, so ascending order of -hops is the tour
+    both = ranks.groupBy(F.expr("elem div 2").alias("k")).agg(F.max("last").alias("last"), F.max("hops").alias("h_in"), F.min("hops").alias("h_out"), F.max("succ").alias("succ"))
+    order = [F.col("root"), F.col("h_in").desc()]
+    ranked = spool.cut(both.select("k", F.expr("last div 2").alias("root"), "h_in", "h_out", (F.col("succ") == CUT).alias("cycle")), "ranked")
+    n_parts = partitions(spark)
+    tour = spool.cut(ranked.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "tour")
+    begin = tour.groupBy("part").agg(F.min(F.struct("root", (-F.col("h_in")).alias("at"))).alias("b")).orderBy("part").collect()  # a row per task
+    parts, roots, ats = (np.array(x, np.int64) for x in zip(*((r.part, r.b.root, r.b["at"]) for r in begin))) if begin else (np.empty(0, np.int64),) * 3
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for every part that begins inside a node of an earlier one."""
+        for pdf in filter(len, frames):
+            i = np.searchsorted(parts, pdf["part"].to_numpy())
+            root, out = pdf["root"].to_numpy(), -pdf["h_out"].to_numpy()
+            reach = np.ones(len(pdf), bool)
+            j = i + 1
+            while (reach := reach & (j < len(parts))).any():
+                x = np.minimum(j, len(parts) - 1)
+                reach &= (roots[x] == root) & (ats[x] < out)
+                if reach.any():
+                    yield pdf[reach].assign(part=parts[x[reach]], open=True)
+                j = j + 1
+
+    more = tour.mapInPandas(opened, f"{_NODE}, part int, open boolean")
+    every = tour.withColumn("open", F.lit(False)).unionByName(more)
+    return every.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", *order).mapInPandas(_walk, _OUT)
 
 
 def hierarchy(links: DataFrame, spool: Spool, block_by: str | None = None, task_rows: int = 1_000_000) -> DataFrame:
@@ -197,54 +263,22 @@ def hierarchy(links: DataFrame, spool: Spool, block_by: str | None = None, task_
     Nodes on a loop or below one have ``path`` = 'cycle' and null in all other columns but ``k``.  ``enter`` and
     ``leave`` are positions in the root's Euler tour: v lies below u exactly if they share the root and
     u.enter < v.enter < u.leave, so descendants are an interval.  ``block_by`` names a column all of whose trees stay
-    within one value; groups of more than ``task_rows`` rows are split by key.  An empty table gives no rows.
+    within one value; groups of more than ``task_rows`` / 4 rows, and all rows without ``block_by``, are split by key.
+    An empty table gives no rows.
     """
     spark = spool.spark
-    cols = [F.col("k").cast("long").alias("k"), F.col("p").cast("long").alias("p"), (F.col(block_by) if block_by else F.col("k")).cast("string").alias("grp")]
+    cols = [F.col("k").cast("long").alias("k"), F.col("p").cast("long").alias("p"), (F.col(block_by) if block_by else F.lit(None)).cast("string").alias("grp")]
     raw = spool.cut(links.select(*cols).filter("k is not null"), "links")
-    known = raw.select(F.col("k").alias("p"), F.lit(True).alias("known"))
-    base = raw.join(known, "p", "left").select("k", F.when(F.col("known"), F.col("p")).otherwise(F.lit(-1)).cast("long").alias("p"), "grp")
-    counts = base.filter("p >= 0").groupBy("p").agg(F.count("*").alias("children")).select(F.col("p").alias("k"), "children")
+    sizes = raw.groupBy("grp").count()
     n = raw.count()
     blocks = max(partitions(spark), -(-n * 4 // task_rows))
-    big = [r.grp for r in raw.groupBy("grp").count().filter(F.col("count") > task_rows // 4).collect()]  # at most 4 n / task_rows
-    key = F.pmod(F.xxhash64("grp"), F.lit(blocks))
-    if big:
-        key = F.when(F.col("grp").isin(big), F.pmod(F.xxhash64("k"), F.lit(blocks))).otherwise(key)
-    nodes = spool.cut(base.join(counts, "k", "left").select(key.alias("block"), "k", "p", F.coalesce("children", F.lit(0)).cast("long").alias("children")), "nodes")
-    loops = spool.cut(loop_nodes(nodes, spool, task_rows).withColumn("cut", F.lit(True)), "loops")
-    trees = nodes.join(loops, "k", "left").select("block", "k", F.when(F.col("cut"), F.lit(-1)).otherwise(F.col("p")).cast("long").alias("p"), F.coalesce("cut", F.lit(False)).alias("cut"))
-    ranks = rank_lists(tour_links(spool.cut(trees, "trees"), spool), spool, task_rows)
-    # hops counts down to the tree's end, so ascending order of -hops is the tour
-    order = [F.col("last"), F.col("hops").desc()]
-    tour = spool.cut(ranks.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "tour")
-    tour = tour.repartition(partitions(spark), "part").sortWithinPartitions("part", *order)
-    changes = sorted(tour.mapInPandas(_stack_change, "part int, closed int, opened array<long>").collect(), key=lambda r: r.part)  # a row per part
-    stacks, open_now = {}, []
-    for r in changes:
-        stacks[r.part] = list(open_now)
-        open_now = open_now[: len(open_now) - r.closed] + list(r.opened)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, path = None, []
-        for pdf in frames:
-            out = []
-            for at, e, s, h, last in zip(*(pdf[c].tolist() for c in ("part", "elem", "succ", "hops", "last"))):
-                if at != part:
-                    part, path = at, []
-                    for k in stacks[at]:
-                        path.append(f"{path[-1]}/{k}" if path else str(k))
-                if e & 1:
-                    path.pop()
-                    continue
-                path.append(f"{path[-1]}/{e >> 1}" if path else str(e >> 1))
-                out.append((e >> 1, path[-1], len(path) - 1, last >> 1, h) if s != CUT else (e >> 1, "cycle", None, None, None))
-            got = pd.DataFrame(out, columns=["k", "path", "depth", "root", "hops"])
-            yield got.astype({"depth": "Int64", "root": "Int64", "hops": "Int64"})
-
-    nodes_out = tour.mapInPandas(walk, "k long, path string, depth long, root long, hops long")
-    leave = tour.filter("elem % 2 = 1").select(F.expr("elem div 2").alias("k"), F.col("hops").alias("out_hops"))
-    return nodes_out.join(leave, "k").select(
-        "k", "path", F.col("depth").cast("int").alias("depth"), "root",
-        F.expr("(hops - out_hops) div 2").alias("descendants"), (-F.col("hops")).alias("enter"), F.when(F.col("hops").isNotNull(), -F.col("out_hops")).alias("leave"))
+    big = [r.grp for r in sizes.filter((F.col("count") > task_rows // 4) | F.col("grp").isNull()).collect()]  # at most 4 n / task_rows, and the null one
+    split = F.col("grp").isNull() | F.col("grp").isin([g for g in big if g is not None])
 
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return local_tours(pdf["k"].to_numpy(np.int64), pdf["p"].fillna(-1).to_numpy(np.int64))
+
+    out = raw.filter(~split).withColumn("block", F.pmod(F.xxhash64("grp"), F.lit(blocks))).groupBy("block").applyInPandas(whole, f"{_NODE}, open boolean").mapInPandas(_walk, _OUT)
+    if big:
+        out = out.unionByName(distributed_hierarchy(raw.filter(split), spool, F.pmod(F.xxhash64("k"), F.lit(blocks)), task_rows))
+    return out

@@ -53,3 +53,18 @@ def test_empty_and_null_keys(spark, spool):
     assert hierarchy(spark.createDataFrame([], "k long, p long"), spool).count() == 0
     got = hierarchy(spark.createDataFrame([(None, 1), (0, None), (1, 0)], "k long, p long"), spool).collect()
     assert {(r.k, r.path) for r in got} == {(0, "0"), (1, "0/1")}
+
+
+def test_groups_of_all_sizes_and_loops_between_them(spark, spool):
+    """Small groups in one task each, large ones and rows without a group distributed, in one call."""
+    rng = random.Random(4)
+    rows = [(g * 1000 + i, None if rng.random() < 0.2 else g * 1000 + rng.randrange(n), f"g{g}") for g, n in enumerate([3, 200, 1, 90, 12]) for i in range(n)]
+    rows += [(9_000 + i, 9_000 + i // 2 if i else None, None) for i in range(50)]
+    got = hierarchy(spark.createDataFrame(rows, "k long, p long, host string"), spool, "host", task_rows=200).collect()
+    assert {r.k: r.path for r in got} == brute([(k, p) for k, p, _ in rows])
+
+
+def test_a_deep_chain_over_many_parts(spark, spool):
+    rows = [(i, i - 1 if i else None) for i in range(900)]
+    got = {r.k: r for r in hierarchy(spark.createDataFrame(rows, "k long, p long").repartition(4), spool, task_rows=100).collect()}
+    assert all((r.depth, r.descendants, r.root) == (k, 899 - k, 0) and r.path.count("/") == k for k, r in got.items()) and len(got) == 900
