@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from talewind.functions.normalize import guid_key, host_key, number_key
 from talewind.operators.components import components
@@ -55,9 +55,11 @@ def merged_ranges(ranges: Column) -> Column:
 
 def ranges_of(numbers: DataFrame) -> DataFrame:
     """Disjoint maximal ranges ``(host, channel, block, ranges)`` of ``(host, channel, block, plain)``."""
-    w = Window.partitionBy(*_PRODUCER).orderBy("plain")
-    runs = numbers.select(*_PRODUCER, "plain").distinct().withColumn("run", F.col("plain") - F.row_number().over(w)).groupBy(*_PRODUCER, "run").agg(F.min("plain").alias("lo"), F.max("plain").alias("hi"))
-    return runs.groupBy(*_PRODUCER).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))  # at most BLOCK / 2 of them
+    s = F.col("s")
+    low = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1) < x - 1))
+    high = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) > x + 1))
+    sets = numbers.groupBy(*_PRODUCER).agg(F.array_sort(F.collect_set("plain")).alias("s"))  # at most BLOCK numbers
+    return sets.select(*_PRODUCER, F.zip_with(low, high, lambda x, y: F.struct(x.alias("lo"), y.alias("hi"))).alias("ranges"))
 
 
 def covered(rows: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def keyed(rows: DataFrame, buckets: int) -> DataFrame:
 class SeenMessages:
     """Stored state of one stream below ``home``."""
 
-    def __init__(self, home: Home, buckets: int = 64):
+    def __init__(self, home: Home, buckets: int = 16):
         self.home, self.versions = home, Versions(home)
         self.buckets = self.versions.state.get("buckets", buckets)
 
@@ -109,13 +111,12 @@ class SeenMessages:
         one = keys.groupBy("bucket", "kind", "key").agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.max("look").alias("look"))
         one.write.partitionBy("bucket").parquet(home.path(folder["keys"]))
         new = home.spark.read.schema(_KEYS).parquet(home.path(folder["keys"]))
+        twice = new.filter("n > 1").select("kind", "key", "first", F.lit(None).cast("long").alias("old"))
         if state.get("keys"):
-            asked = new.filter("look")
-            old = self._read("keys", _KEYS).filter(F.col("bucket").isin([r[0] for r in asked.select("bucket").distinct().collect()]))  # at most one row per bucket
-            held = old.join(asked.select("kind", "key"), ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.min("first").alias("old"))
-            twice = new.join(held, ["kind", "key"], "left").filter("n > 1 or old is not null")
-        else:
-            twice = new.filter("n > 1").withColumn("old", F.lit(None).cast("long"))
+            touched = [int(x.split("=")[1]) for x in home.names_in(folder["keys"]) if x.startswith("bucket=")]
+            old = self._read("keys", _KEYS).filter(F.col("bucket").isin(touched)).select("kind", "key", F.col("first").alias("old"))
+            twice = twice.unionByName(new.filter("look").select("kind", "key", "first").join(old, ["kind", "key"]))
+        twice = twice.groupBy("kind", "key").agg(F.min("first").alias("first"), F.min("old").alias("old"))
         twice = sp.cut(twice.select("kind", "key", F.least("first", "old").alias("b"), "first", "old"), "twice")
         # copies of one message meet its key in a broadcast, or in a join whose large partitions are split at run time
         links = keys.join(small(twice).select("kind", "key", "b"), ["kind", "key"]).select(F.col("seq").alias("a"), "b")

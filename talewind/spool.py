@@ -79,7 +79,10 @@ class Home:
             src.close()
 
     def names(self) -> list[str]:
-        here = self._path(self.root)
+        return self.names_in("")
+
+    def names_in(self, folder: str) -> list[str]:
+        here = self._path(self.path(folder) if folder else self.root)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(here)) if self.fs.exists(here) else []
 
 
