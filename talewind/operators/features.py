@@ -81,8 +81,8 @@ FEATURES = (
 )
 
 
-def session_features(inputs: DataFrame, *keys: str) -> DataFrame:
-    """One row per ``keys`` with all 103 features.  Distinct counts are taken in an aggregate of their own.
+def session_features(inputs: DataFrame, *keys: str, **more: Column) -> DataFrame:
+    """One row per ``keys`` with all 103 features and the aggregates ``more``.  Distinct counts are taken in an aggregate of their own.
 
     Plain counts combine before the shuffle; the five distinct counts go through collect_set, which does too, instead
     of multiplying the rows by the number of distinct columns.
@@ -90,7 +90,7 @@ def session_features(inputs: DataFrame, *keys: str) -> DataFrame:
     cols = feature_columns()
     sets = {"unique_source_images": "src_image", "unique_target_images": "tgt_image", "unique_dlls_loaded": "dll", "network_fanout": "dst_ip", "unique_port_count": "dst_port", "unique_event_types": "event_id"}
     aggs = [F.size(F.collect_set(sets[n])).cast("double").alias(n) if n in sets else c.alias(n) for n, c in cols.items()]
-    return inputs.groupBy(*keys).agg(*aggs)
+    return inputs.groupBy(*keys).agg(*aggs, *(c.alias(n) for n, c in more.items()))
 
 
 def evidence(lsass: bool = True, access: bool = True, network: bool = True, registry: bool = True, failed: bool = True) -> Column:

@@ -6,7 +6,11 @@ are aggregates over that column, so a retried task never counts twice.  Present-
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampType
 
 # Supported event ids, time fields in order of preference, the guid that names no parent.
 SUPPORTED = (1, 3, 7, 10, 11, 12, 13, 4103, 4104, 4624)
@@ -25,11 +29,42 @@ def either(*keys: str) -> Column:
     return F.coalesce(*(get(k) for k in keys))
 
 
+#: Spellings of a time with a date besides ISO 8601, most frequent first; a leading day of the week is left out.
+TIME_FORMATS = (
+    "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "MMM d yyyy HH:mm:ss", "MMM d yyyy HH:mm", "MMM d, yyyy HH:mm:ss", "MMM d, yyyy h:mm:ss a", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss Z", "MMM d HH:mm:ss yyyy",
+    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "M/d/yyyy H:mm", "M/d/yyyy", "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss", "dd/MMM/yyyy:HH:mm:ss Z",
+)
+
+
 def parse_time(text: Column) -> Column:
     """UTC instant of the spellings in use; times without a date and unreadable ones are null."""
-    dated = F.when(text.rlike(r"\d{4}|\d/\d"), text)
-    return F.coalesce(
-        dated.try_cast("timestamp"), *(F.try_to_timestamp(dated, F.lit(f)) for f in ("M/d/yyyy H:mm:ss", "MMM d yyyy HH:mm:ss", "MMM d yyyy HH:mm", "d MMM yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss")))
+    dated = F.when(text.rlike(r"\d{4}|\d/\d"), F.trim(text))
+    bare = F.regexp_replace(dated, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", "")
+    return F.coalesce(dated.try_cast("timestamp"), *(F.try_to_timestamp(bare, F.lit(f)) for f in TIME_FORMATS))
+
+
+def any_time(text: Column) -> Column:
+    """:func:`parse_time`, and a general date parser for dated texts it can't read; a text without a day is no time."""
+    known = parse_time(text)
+    return F.coalesce(known, _general_time(F.when(known.isNull() & text.rlike(r"\d{4}"), text)))
+
+
+@F.pandas_udf(TimestampType())
+def _general_time(text: pd.Series) -> pd.Series:
+    from dateutil import parser
+
+    def one(t: str | None):
+        if t is None:
+            return None
+        try:
+            a, b = (parser.parse(t, default=datetime(2000, m, d)) for m, d in ((1, 1), (2, 2)))
+        except (ValueError, OverflowError, TypeError):
+            return None
+        if a.date() != b.date():  # the text names no full date
+            return None
+        return (a.replace(tzinfo=timezone.utc) if a.tzinfo is None else a.astimezone(timezone.utc)).replace(tzinfo=None)
+
+    return pd.Series([one(t) for t in text], dtype="datetime64[us]")
 
 
 def once(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
@@ -40,8 +75,10 @@ def once(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
     return df.select(*(keep or df.columns), F.inline(F.array(F.struct(*(c.alias(k) for k, c in cols.items())))))
 
 
-def parse(records: DataFrame) -> DataFrame:
-    """``(seq, record)`` to ``(seq, event_id, ts, host, event_source_id, provider, channel, record, reason)``.
+def parse(records: DataFrame, *keep: str, general: bool = False) -> DataFrame:
+    """``(seq, record, *keep)`` to ``(seq, event_id, ts, host, event_source_id, provider, channel, record, reason, *keep)``.
+
+    ``general`` has a general date parser read what the known spellings don't cover, in Arrow batches.
 
     Reasons in order: ``malformed`` (EventID is no integer), ``no_parser`` (not supported), ``silent_mismatch`` (the
     number is spelled in an unusual way; not part of the reported totals), ``no_timestamp``, ``bad_timestamp``.
@@ -52,7 +89,7 @@ def parse(records: DataFrame) -> DataFrame:
     security, shell = F.col("event_id") == 4624, F.col("event_id").isin(4103, 4104)
     by_parser = lambda s, p, o: F.when(security, s).when(shell, p).otherwise(o)
     return (
-        once(once(records.select("seq", "record"), event_id=whole, time_text=text), ts=parse_time(F.col("time_text")))
+        once(once(records.select("seq", "record", *keep), event_id=whole, time_text=text), ts=(any_time if general else parse_time)(F.col("time_text")))
         .select(
             "seq", "event_id", "ts", F.coalesce(either("Hostname", "Computer"), F.lit("Unknown")).alias("host"),
             F.coalesce(either("RecordNumber", "EventRecordID"), F.lit("")).alias("event_source_id"),
@@ -60,7 +97,7 @@ def parse(records: DataFrame) -> DataFrame:
             F.coalesce(F.col("record")["Channel"], by_parser("Security", "Microsoft-Windows-PowerShell/Operational", "Microsoft-Windows-Sysmon/Operational")).alias("channel"),
             "record",
             F.when(F.col("event_id").isNull(), "malformed").when(~F.col("event_id").isin(*SUPPORTED), "no_parser").when(raw != F.col("event_id").cast("string"), "silent_mismatch")
-            .when(F.col("time_text").isNull(), "no_timestamp").when(F.col("ts").isNull(), "bad_timestamp").alias("reason"))
+            .when(F.col("time_text").isNull(), "no_timestamp").when(F.col("ts").isNull(), "bad_timestamp").alias("reason"), *keep)
     )
 
 
@@ -104,46 +141,64 @@ def _attributes(**kw: Column) -> Column:
     return F.map_filter(F.create_map(*(x for k, v in kw.items() for x in (F.lit(k), v.cast("string")))), lambda k, v: v.isNotNull())
 
 
-def _entity(kind: str, id_: Column, **kw: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), id_.alias("entity_id"), _attributes(**kw).alias("attributes"))
+def entity_kind() -> Column:
+    """Kind of the entity an event describes; null where it describes none."""
+    e = F.col("event_id")
+    return F.when(e.isin(1, 10), "process").when(e == 3, "network").when(e.isin(7, 11), "file").when(e.isin(12, 13), "registry").when(e == 4624, "user")
 
 
-def entities(events: DataFrame, *keep: str) -> DataFrame:
-    """``(seq, host, ts, event_id, kind, entity_id, attributes, *keep)``: the entity each kept event describes, at most one."""
-    e, host, blank = F.col("event_id"), F.lower("host"), F.lit("")
-    text = lambda k: F.coalesce(F.col("record")[k], blank)
+def entity_id() -> Column:
+    """Id of the entity an event describes; null where it describes none."""
+    e, r, host, blank = F.col("event_id"), F.col("record"), F.lower("host"), F.lit("")
+    text = lambda k: F.coalesce(r[k], blank)
+    tguid = either("TargetProcessGUID", "TargetProcessGuid")
+    process = F.when(get("ProcessGuid").isNotNull(), F.concat(F.lit("proc_"), get("ProcessGuid"))).otherwise(F.concat_ws("_", F.lit("proc"), host, F.coalesce(r["ProcessId"], F.lit("None")), epoch_text(F.col("ts"))))
+    target = F.when(tguid.isNotNull(), F.concat(F.lit("proc_"), tguid)).otherwise(F.concat_ws("_", F.lit("proc"), host, F.coalesce(r["TargetProcessId"], F.lit("None")), F.lit("access")))
+    flow = F.concat_ws("_", F.lit("net"), text("SourceIp"), text("DestinationIp"), F.coalesce(r["SourcePort"], F.lit("0")), F.coalesce(r["DestinationPort"], F.lit("0")), text("Protocol"), F.date_format("ts", "yyyyMMddHHmm"))
+    user = F.when(_user("UserSid") != "", F.concat(F.lit("user_"), _user("UserSid"))).otherwise(F.lower(F.concat(F.lit("user_"), _user("DomainName"), F.lit("\\"), _user("UserName"))))
+    return (
+        F.when(e == 1, process).when(e == 3, flow).when(e == 7, F.concat_ws("_", F.lit("file"), host, text("ImageLoaded"))).when(e == 10, target)
+        .when(e == 11, F.concat_ws("_", F.lit("file"), host, text("TargetFilename"))).when(e.isin(12, 13), F.concat_ws("_", F.lit("reg"), host, text("TargetObject"))).when(e == 4624, user))
+
+
+def _user(k: str) -> Column:
+    return F.coalesce(either(f"Target{k}", f"Subject{k}"), F.lit(""))
+
+
+def entity_attributes() -> Column:
+    """What an event says about its entity, as a map of the values that are there."""
+    e, r, blank = F.col("event_id"), F.col("record"), F.lit("")
+    text = lambda k: F.coalesce(r[k], blank)
     tguid = either("TargetProcessGUID", "TargetProcessGuid")
-    target, parts = text("TargetObject"), F.split(text("TargetObject"), r"\\", -1)
+    parts = F.split(text("TargetObject"), r"\\", -1)
     loaded, created = text("ImageLoaded"), text("TargetFilename")
-    user = lambda k: F.coalesce(either(f"Target{k}", f"Subject{k}"), blank)
-    one = (
-        F.when(e == 1, _entity(
-            "process", F.when(get("ProcessGuid").isNotNull(), F.concat(F.lit("proc_"), get("ProcessGuid"))).otherwise(F.concat_ws("_", F.lit("proc"), host, F.coalesce(F.col("record")["ProcessId"], F.lit("None")), epoch_text(F.col("ts")))),
-            guid=F.col("record")["ProcessGuid"], pid=F.coalesce(F.trim(F.col("record")["ProcessId"]).try_cast("int"), F.lit(0)), image=text("Image"), command_line=F.col("record")["CommandLine"],
-            parent_guid=F.col("record")["ParentProcessGuid"], parent_image=F.col("record")["ParentImage"], user=F.col("record")["User"], integrity=F.col("record")["IntegrityLevel"],
-            hashes=F.to_json(hashes(F.col("record")["Hashes"])), company=F.col("record")["Company"], original_filename=F.col("record")["OriginalFileName"]))
-        .when(e == 3, _entity(
-            "network", F.concat_ws("_", F.lit("net"), text("SourceIp"), text("DestinationIp"), F.coalesce(F.col("record")["SourcePort"], F.lit("0")), F.coalesce(F.col("record")["DestinationPort"], F.lit("0")), text("Protocol"), F.date_format("ts", "yyyyMMddHHmm")),
-            source_ip=text("SourceIp"), dest_ip=text("DestinationIp"), source_port=_number(F.col("record")["SourcePort"], F.lit(0)), dest_port=_number(F.col("record")["DestinationPort"], F.lit(0)), protocol=text("Protocol")))
-        .when(e == 7, _entity("file", F.concat_ws("_", F.lit("file"), host, loaded), path=loaded, type=F.when(F.lower(extension(loaded)).isin("dll", "sys"), "Module").otherwise("File"), extension=extension(loaded), hashes=F.to_json(hashes(F.col("record")["Hashes"]))))
-        .when(e == 10, _entity(
-            "process", F.when(tguid.isNotNull(), F.concat(F.lit("proc_"), tguid)).otherwise(F.concat_ws("_", F.lit("proc"), host, F.coalesce(F.col("record")["TargetProcessId"], F.lit("None")), F.lit("access"))),
-            guid=tguid, pid=F.coalesce(F.trim(F.col("record")["TargetProcessId"]).try_cast("int"), F.lit(0)), image=text("TargetImage"), parent_image=F.col("record")["SourceImage"]))
-        .when(e == 11, _entity("file", F.concat_ws("_", F.lit("file"), host, created), path=created, type=F.when(F.lower(extension(created)).isin("exe", "dll", "sys"), "Executable").otherwise("Document"), extension=extension(created)))
-        .when(e.isin(12, 13), _entity(
-            "registry", F.concat_ws("_", F.lit("reg"), host, target), hive=parts[0],
+    return (
+        F.when(e == 1, _attributes(
+            guid=r["ProcessGuid"], pid=F.coalesce(F.trim(r["ProcessId"]).try_cast("int"), F.lit(0)), image=text("Image"), command_line=r["CommandLine"],
+            parent_guid=r["ParentProcessGuid"], parent_image=r["ParentImage"], user=r["User"], integrity=r["IntegrityLevel"],
+            hashes=F.to_json(hashes(r["Hashes"])), company=r["Company"], original_filename=r["OriginalFileName"]))
+        .when(e == 3, _attributes(source_ip=text("SourceIp"), dest_ip=text("DestinationIp"), source_port=_number(r["SourcePort"], F.lit(0)), dest_port=_number(r["DestinationPort"], F.lit(0)), protocol=text("Protocol")))
+        .when(e == 7, _attributes(path=loaded, type=F.when(F.lower(extension(loaded)).isin("dll", "sys"), "Module").otherwise("File"), extension=extension(loaded), hashes=F.to_json(hashes(r["Hashes"]))))
+        .when(e == 10, _attributes(guid=tguid, pid=F.coalesce(F.trim(r["TargetProcessId"]).try_cast("int"), F.lit(0)), image=text("TargetImage"), parent_image=r["SourceImage"]))
+        .when(e == 11, _attributes(path=created, type=F.when(F.lower(extension(created)).isin("exe", "dll", "sys"), "Executable").otherwise("Document"), extension=extension(created)))
+        .when(e.isin(12, 13), _attributes(
+            hive=parts[0],
             key_path=F.when((e == 13) & (F.size(parts) > 2), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "\\")).otherwise(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "\\")),
-            value_name=F.when(e == 13, F.element_at(parts, -1)), operation=F.when(F.col("record")["EventType"].isin("DeleteKey", "DeleteValue"), "Delete").when(e == 12, "Create").otherwise("Set")))
-        .when(e == 4624, _entity(
-            "user", F.when(user("UserSid") != "", F.concat(F.lit("user_"), user("UserSid"))).otherwise(F.lower(F.concat(F.lit("user_"), user("DomainName"), F.lit("\\"), user("UserName")))),
-            sid=user("UserSid"), account=user("UserName"), domain=user("DomainName"), logon_id=F.col("record")["TargetLogonId"], logon_type=_number(F.col("record")["LogonType"], F.lit(None).cast("int")),
-            authentication_package=F.col("record")["AuthenticationPackageName"], elevated=F.coalesce(F.col("record")["ElevatedToken"] == "%%1842", F.lit(False))))
+            value_name=F.when(e == 13, F.element_at(parts, -1)), operation=F.when(r["EventType"].isin("DeleteKey", "DeleteValue"), "Delete").when(e == 12, "Create").otherwise("Set")))
+        .when(e == 4624, _attributes(
+            sid=_user("UserSid"), account=_user("UserName"), domain=_user("DomainName"), logon_id=r["TargetLogonId"], logon_type=_number(r["LogonType"], F.lit(None).cast("int")),
+            authentication_package=r["AuthenticationPackageName"], elevated=F.coalesce(r["ElevatedToken"] == "%%1842", F.lit(False))))
     )
-    return events.select("seq", "host", "ts", "event_id", *keep, F.inline(F.array_compact(F.array(one))))
 
 
-def edges(events: DataFrame) -> DataFrame:
-    """``(seq, host, ts, src, rel, dst)``: the relationship each kept event states, at most one."""
+def entities(events: DataFrame, *keep: str) -> DataFrame:
+    """``(seq, host, ts, event_id, kind, entity_id, attributes, *keep)``: the entity each kept event describes, at most one."""
+    some = events.withColumn("kind", entity_kind()).filter("kind is not null")
+    return once(some, "seq", "host", "ts", "event_id", "kind", *keep, entity_id=entity_id(), attributes=entity_attributes()).select("seq", "host", "ts", "event_id", *keep, "kind", "entity_id", "attributes")
+
+
+def edges(events: DataFrame, *keep: str) -> DataFrame:
+    """``(seq, host, ts, src, rel, dst, *keep)``: the relationship each kept event states, at most one."""
     e = F.col("event_id")
     parent = F.trim(F.coalesce(get("ParentProcessGuid"), F.lit("")))
     sguid, spid = either("SourceProcessGUID", "SourceProcessGuid"), get("SourceProcessId")
@@ -154,4 +209,4 @@ def edges(events: DataFrame) -> DataFrame:
     )
     # The relationship each event id states.
     rel = F.when(e == 1, "spawned").when(e == 3, "connected_to").when(e == 7, "loaded").when(e == 10, "accessed_process").when(e == 11, "created_file").when(e.isin(12, 13), "modified_registry")
-    return entities(once(events, src=src, rel=rel).filter("src is not null"), "src", "rel").select("seq", "host", "ts", "src", "rel", F.col("entity_id").alias("dst"))
+    return once(events.filter(e.isin(1, 3, 7, 10, 11, 12, 13)), "seq", "host", "ts", *keep, src=src, rel=rel, dst=entity_id()).filter("src is not null").select("seq", "host", "ts", "src", "rel", "dst", *keep)
