@@ -119,3 +119,96 @@ def evidence_report(rows: DataFrame, label: str, has: Column) -> DataFrame:
 def may_persist(macro_f1: float, baselines: list[float], ece: float) -> bool:
     """Whether a model clears the best baseline by 0.05 and is calibrated within 0.15."""
     return macro_f1 > max(baselines) + 0.05 and ece < 0.15
+
+
+def _per_class(pred: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, k, tp, t, p)``: hits, truths and predictions of each class that occurs."""
+    c = pred.groupBy(*keys, "y", "pred").agg(F.count("*").alias("n"))
+    one = lambda k, tp, t, p: c.select(*keys, F.col(k).alias("k"), tp.alias("tp"), t.alias("t"), p.alias("p"))
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)
+    return one("y", hit, F.col("n"), zero).unionByName(one("pred", zero, zero, F.col("n"))).groupBy(*keys, "k").agg(F.sum("tp").alias("tp"), F.sum("t").alias("t"), F.sum("p").alias("p"))
+
+
+def fold_metrics(pred: DataFrame, k: int = 3, bins: int = 10) -> DataFrame:
+    """One row per held-out group of ``(group, y, pred, proba, classes)``: its size and every metric of its own predictions.
+
+    ``classes`` is the order of ``proba``; the model of a group may lack classes that others have.
+    """
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    per = _per_class(pred, "group").groupBy("group").agg(
+        F.avg(safe(F.col("tp"), F.col("p"))).alias("macro_precision"), F.avg(safe(F.col("tp"), F.col("t"))).alias("macro_recall"), F.avg(safe(2 * F.col("tp"), F.col("t") + F.col("p"))).alias("macro_f1"))
+    pairs = F.arrays_zip(F.col("proba").alias("p"), F.col("classes").alias("c"))
+    ranked = F.array_sort(F.transform(pairs, lambda x, i: F.struct((-x.p).alias("p"), i.alias("i"), x.c.alias("c"))))
+    top = F.exists(F.slice(ranked, 1, k), lambda x: x.c == F.col("y"))
+    gap = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.pow(x.p - F.when(x.c == F.col("y"), 1.0).otherwise(0.0), F.lit(2.0)))
+    edges = F.array(*map(F.lit, np.linspace(0.0, 1.0, bins + 1).tolist()))
+    conf = F.array_max("proba")
+    rows = pred.select("group", conf.alias("conf"), F.size(F.filter(edges, lambda e: e < conf)).alias("bin"), (F.col("y") == F.col("pred")).cast("double").alias("ok"), top.cast("double").alias("top"), gap.alias("gap"))
+    # one pass: everything else is a sum over (group, bin)
+    b = rows.groupBy("group", "bin").agg(F.count("*").alias("n"), F.avg("ok").alias("acc"), F.avg("conf").alias("conf"), F.sum("top").alias("top"), F.sum("gap").alias("gap"))
+    off = F.when(F.col("bin") > 0, F.col("n") * F.abs(F.col("acc") - F.col("conf"))).otherwise(0.0)
+    rest = b.groupBy("group").agg(F.sum("n").alias("n_test"), (F.sum("top") / F.sum("n")).alias("top3"), (F.sum(off) / F.sum("n")).alias("ece"), (F.sum("gap") / F.sum("n")).alias("brier"))
+    return rest.join(per, "group").select("group", "n_test", "macro_f1", "macro_precision", "macro_recall", "top3", "ece", "brier")
+
+
+def random_counts(counts: list[tuple[str, str, int]], classes: list[str], seed: int = 0) -> list[tuple[str, str, int]]:
+    """Confusion counts of predictions drawn uniformly from ``classes``: one multinomial draw for each true class."""
+    rng, truth = np.random.default_rng(seed), {}
+    for t, _, n in counts:
+        truth[t] = truth.get(t, 0) + n
+    return [(t, c, int(m)) for t, n in sorted(truth.items()) for c, m in zip(classes, rng.multinomial(n, [1 / len(classes)] * len(classes)))]
+
+
+def pooled(pred: DataFrame, folds: DataFrame, reps: int = 1000, seed: int = 0) -> dict[str, float]:
+    """Metrics of all predictions together with a bootstrap interval, the means over folds, and both baselines.
+
+    What reaches the driver is one count per pair of classes.  The majority baseline is the commonest truth, the
+    smallest among equals; the random one draws uniformly from the true classes.
+    """
+    counts = [(r.y, r.pred, r.n) for r in pred.groupBy("y", "pred").agg(F.count("*").alias("n")).orderBy("y", "pred").collect()]
+    if not counts:
+        return {}
+    point, lo, hi = bootstrap(counts, macro_f1_of_counts, reps, seed=seed)
+    whole = macro(pred).first()
+    mean = folds.agg(*(F.avg(c).alias(c) for c in ("macro_f1", "top3", "ece", "brier"))).first()
+    n: dict[str, int] = {}
+    for t, _, m in counts:
+        n[t] = n.get(t, 0) + m
+    top = min(n, key=lambda t: (-n[t], t))
+    f1 = lambda c: macro_f1_of_counts(*(np.array(x) for x in zip(*c)))
+    return {
+        "macro_f1": point, "macro_f1_ci_lo": lo, "macro_f1_ci_hi": hi, "macro_precision": whole.macro_precision, "macro_recall": whole.macro_recall,
+        "mean_fold_macro_f1": mean.macro_f1, "mean_fold_top3": mean.top3, "mean_fold_ece": mean.ece, "mean_fold_brier": mean.brier,
+        "majority_macro_f1": f1([(t, top, m) for t, m in n.items()]), "random_macro_f1": f1(random_counts(counts, sorted(n), seed))}
+
+
+def supported_targets(rows: DataFrame, target: str, scenario: str, min_scenarios: int = 5) -> DataFrame:
+    """The rows whose single technique occurs in at least ``min_scenarios`` scenarios."""
+    ok = rows.filter(F.col(target).isNotNull()).groupBy(F.col(target).alias("_t")).agg(F.count_distinct(scenario).alias("_n")).filter(F.col("_n") >= min_scenarios).select("_t")
+    return rows.join(ok, F.col(target) == F.col("_t"), "left_semi")
+
+
+STRATEGIES = ("unfiltered", "evidence", "ueba")  # fixed values, in the order they are judged in
+
+
+def strategy_audit(rows: DataFrame, target: str, scenario: str, has: Column, score: Column, threshold: float = 0.5) -> DataFrame:
+    """Per strategy of keeping rows: samples, coverage in percent, scenarios, classes and whether it can be evaluated.
+
+    ``rows`` hold a target each; a strategy with no rows, or fewer than two scenarios or classes, is skipped.
+    """
+    keep = dict(zip(STRATEGIES, (F.lit(True), has, score >= threshold)))
+    one = F.explode(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(s).alias("strategy"), F.coalesce(c, F.lit(False)).alias("kept")) for i, (s, c) in enumerate(keep.items())))).alias("s")
+    x = rows.select(target, scenario, one).select("s.*", F.when(F.col("s.kept"), F.col(target)).alias("t"), F.when(F.col("s.kept"), F.col(scenario)).alias("g"))
+    a = x.groupBy("position", "strategy").agg(F.count_if("kept").alias("samples"), F.count("*").alias("total"), F.count_distinct("g").alias("scenarios"), F.count_distinct("t").alias("classes"))
+    return a.select("position", "strategy", "samples", (100.0 * F.col("samples") / F.col("total")).alias("coverage"), "scenarios", "classes", ((F.col("samples") == 0) | (F.col("scenarios") < 2) | (F.col("classes") < 2)).alias("skipped"))
+
+
+def target_policy(rows: DataFrame, target: str) -> DataFrame:
+    """``(policy, n)``: rows with a single technique, which can be trained on, and rows with several."""
+    return rows.groupBy(F.when(F.col(target).isNotNull(), "single").otherwise("several").alias("policy")).agg(F.count("*").alias("n"))
+
+
+def class_retention(rows: DataFrame, target: str, has: Column) -> DataFrame:
+    """Per class: rows, rows with evidence, and their share in percent."""
+    return evidence_report(rows, target, has).withColumn("percent", 100.0 * F.col("n_evidence") / F.col("n"))

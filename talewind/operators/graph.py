@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Parts of registry paths and operations that features look for, in order.
+RUN_KEYS = ("run", "runonce", "startup", "currentversion\\windows")
+EXCLUSIONS = ("exclusions", "windows defender")
+WRITES = ("setvalue", "createkey", "write", "modify")
 # Node kinds and edge kinds in order.
 KINDS = ("process", "file", "registry", "network", "user", "service")
 RELATIONS = ("spawned", "loaded", "connected_to", "created_file", "modified_registry", "accessed_process")
@@ -61,8 +65,8 @@ def node_features(nodes: DataFrame, degree: DataFrame) -> DataFrame:
         "cmd_len_log1p": F.when(process, F.log1p(F.length(F.coalesce(a["command_line"], F.lit(""))))).otherwise(0.0), "process_depth_log1p": F.when(process, F.log1p(F.coalesce("depth", F.lit(0.0)))).otherwise(0.0),
         "has_sha1": has("SHA1"), "has_md5": has("MD5"), "has_sha256": has("SHA256"), "net_tcp": one((k == "network") & tcp), "net_udp": one((k == "network") & ~tcp & low("protocol").contains("udp")),
         "reg_hive_hklm": one(registry & hklm), "reg_hive_hkcu": one(registry & ~hklm & (hive.contains("HKCU") | hive.contains("CURRENT_USER"))),
-        "reg_is_run_key": one(registry & any_(path, "run", "startup", "currentversion\\windows")), "reg_is_service_key": one(registry & path.contains("services")),
-        "reg_is_defender_exclusion": one(registry & any_(path, "exclusions", "windows defender")), "reg_op_write": one(registry & any_(low("operation"), "setvalue", "createkey", "write", "modify")),
+        "reg_is_run_key": one(registry & any_(path, *RUN_KEYS)), "reg_is_service_key": one(registry & path.contains("services")),
+        "reg_is_defender_exclusion": one(registry & any_(path, *EXCLUSIONS)), "reg_op_write": one(registry & any_(low("operation"), *WRITES)),
         "reg_path_depth_log1p": F.when(registry, F.log1p(F.length(path) - F.length(F.translate(path, "\\/", "")))).otherwise(0.0),
         "user_is_elevated": one((k == "user") & (a["elevated"] == "true")), "user_logon_interactive": one((k == "user") & a["logon_type"].isin("2", "10")), "user_logon_network": one((k == "user") & (a["logon_type"] == "3")),
     }
@@ -85,6 +89,25 @@ def invalid_graphs(features: DataFrame, edge_list: DataFrame) -> DataFrame:
     return bad.unionByName(out).distinct()
 
 
+def content_hashes(features: DataFrame, edge_list: DataFrame, digits: int = 6) -> DataFrame:
+    """``(session, hash)``: a digest of a graph's node features and typed edges in their order; equal graphs have equal ones."""
+    cols = [c for c in features.columns if c not in ("session", "node")]
+    x = features.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("node", *(F.round(c, digits).alias(c) for c in cols)))).alias("x"))  # a session's own nodes
+    e = edge_list.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("a", "b", "type"))).alias("e"))
+    return x.join(e, "session", "left").select("session", F.sha2(F.to_json(F.struct("x", F.coalesce("e", F.array().cast("array<struct<a:int,b:int,type:int>>")).alias("e"))), 256).alias("hash"))
+
+
+def conflicts(hashes: DataFrame, label: str) -> DataFrame:
+    """``(hash, n, n_labels)`` of contents that carry more than one label."""
+    return hashes.groupBy("hash").agg(F.count("*").alias("n"), F.count_distinct(label).alias("n_labels")).filter("n_labels > 1")
+
+
+def label_map(graphs: DataFrame, label: str) -> DataFrame:
+    """``(label, class_id)``: labels numbered in sorted order; a missing one is ``unknown``."""
+    d = graphs.select(F.coalesce(F.col(label), F.lit("unknown")).alias("label")).distinct()
+    return d.withColumn("class_id", F.row_number().over(Window.orderBy("label")) - 1)  # one row per label
+
+
 def class_weights(graphs: DataFrame, label: str, least: int = 8) -> DataFrame:
     """``(label, n, class_id, weight)`` of classes with at least ``least`` graphs, numbered in sorted order, inversely weighted."""
     c = graphs.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)

@@ -56,13 +56,16 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, size: int = 40
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2_000) -> DataFrame:
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2_000, sources: list[str] | None = None) -> DataFrame:
     """``(query_id, vec_id, score, rank)``: nearest ``(vec_id, embedding)`` of each ``(query_id, embedding)`` by cosine.
 
     The stated query set goes to the tasks in blocks of ``block``; every task keeps its k best per query, so what is
-    shuffled is k rows per query and task.  A zero vector has cosine 0 with everything; null vectors are left out.
+    shuffled is k rows per query and task.  With ``sources`` only vectors of these count, before the cut at k; the
+    filter reaches the scan.  A zero vector has cosine 0 with everything; null vectors are left out.
     """
     out, held = None, []
+    if sources is not None:
+        vectors = vectors.filter(F.col("source").isin(sources))
 
     def against(rows: list) -> DataFrame:
         ids = np.array([r.query_id for r in rows], np.int64)

@@ -16,6 +16,35 @@ def edge_cost(technique: Column) -> Column:
     return F.coalesce(costs[F.coalesce(technique, F.lit("T1021"))], F.lit(DEFAULT_COST))
 
 
+# The names under which a request may give an asset's id and an edge's ends, in order of preference.
+ASSET_ID = ("asset_id", "id")
+FROM, TO = ("from_asset", "source_id", "from", "source"), ("to_asset", "target_id", "to", "target")
+
+
+def normalized(assets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assets ``(asset_id, tier)`` and edges ``(seq, src, dst, technique)`` of requests ``(seq, record map<string,string>)``.
+
+    Stricter than :func:`topology`: an asset without an id, or an edge whose end is missing or no asset of the request,
+    is an error that names it.  Of repeated assets the last counts.
+    """
+    first = lambda names: F.coalesce(*(F.nullif(F.col("record")[n], F.lit("")) for n in names))
+    a = assets.select("seq", first(ASSET_ID).alias("asset_id"), F.col("record")["tier"].try_cast("int").alias("tier"))
+    if not a.filter("asset_id is null").isEmpty():
+        raise ValueError("an asset has neither asset_id nor id")
+    e = edges.select("seq", first(FROM).alias("src"), first(TO).alias("dst"), F.col("record")["technique"].alias("technique"))
+    known = a.select("asset_id").distinct()
+    for end in ("src", "dst"):
+        wrong = e.join(known.withColumnRenamed("asset_id", end), end, "left_anti").orderBy("seq").first()
+        if wrong is not None:
+            raise ValueError(f"the edge from {wrong.src!r} to {wrong.dst!r} names an unknown asset")
+    return a.groupBy("asset_id").agg(F.max_by("tier", "seq").alias("tier")), e
+
+
+def export(assets: DataFrame, graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The topology to show: nodes with their tier (3 where missing) and edges with their weight to 3 digits."""
+    return assets.select("asset_id", F.coalesce("tier", F.lit(3)).alias("tier")), graph.select("src", "dst", "technique", F.round("weight", 3).alias("weight"))
+
+
 def topology(assets: DataFrame, edges: DataFrame) -> DataFrame:
     """``(src, dst, technique, weight)`` from ``(seq, src, dst, technique)``: edges between known assets, the last of repeated pairs.
 

@@ -100,10 +100,10 @@ class IsolationForest:
 
 
 def with_forest(scored: DataFrame, features: list[str], train: DataFrame, order: list[str], limit: int = MOST, seed: int = 42) -> DataFrame:
-    """``scored`` with ``if_score`` of a forest trained on the last ``limit`` (a documented bound) non-anomalous rows of ``train`` by ``order``.
+    """``scored`` with ``if_score`` of a forest trained on the last ``limit`` non-anomalous rows of ``train`` by ``order``.
 
-    The forest is trained per batch, not after every 500th row: rows of one batch are scored by the forest that the
-    batches before it gave, which keeps scoring parallel.  Fewer than 50 training rows leave the neutral score.
+    The batch form of :func:`serial_scores`: ``train`` are the rows of earlier batches, and a batch is scored in
+    parallel by the forest they gave.  Fewer than 50 training rows leave the neutral score.
     """
     last = train.filter("not is_anomalous").orderBy(*map(F.desc, order)).limit(limit)
     x = np.array([[float(r[f] or 0) for f in features] for r in last.select(*features).collect()])
@@ -118,3 +118,52 @@ def with_forest(scored: DataFrame, features: list[str], train: DataFrame, order:
             yield pdf.assign(if_score=1.0 / (1.0 + np.exp(5.0 * raw)))
 
     return scored.mapInPandas(run, schema)
+
+
+def serial_scores(scored: DataFrame, features: list[str], order: list[str], stream: str | None = None, threshold: float = THRESHOLD, every: int = RETRAIN_EVERY, seed: int = 42) -> DataFrame:
+    """``scored`` (:func:`scores` without a forest) with ``if_score``, and score and is_anomalous by the forest of that moment.
+
+    Rows of one ``stream`` are taken in ``order``.  After every ``every``-th row, if that row is not anomalous and at
+    least 50 such rows have been seen, the forest is trained anew on the last 5,000 of them.  A row's score depends on
+    all rows before it, so a stream is walked by one task, in blocks and in constant memory; streams (sites, tenants)
+    are walked side by side.  Use :func:`with_forest` where one stream is too much for a task.
+    """
+    spark = scored.sparkSession
+    rows = scored.withColumn("_s", F.coalesce(F.col(stream).cast("string"), F.lit("")) if stream else F.lit(""))
+    out = scored.withColumns({"if_score": F.lit(0.0), "score": F.lit(0.0), "is_anomalous": F.lit(False)}).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen, held, forest = None, 0, [], None
+        for pdf in filter(len, frames):
+            start, names = 0, pdf["_s"].tolist()
+            x, stat = pdf[features].fillna(0).to_numpy(float), pdf["stat_score"].to_numpy()
+            if_score, raw = np.empty(len(pdf)), np.empty(len(pdf))
+            while start < len(pdf):
+                if names[start] != now:
+                    now, seen, held, forest = names[start], 0, [], None
+                end = start
+                while end < len(pdf) and names[end] == now and end - start < every - seen % every:
+                    end += 1
+                part = slice(start, end)
+                if_score[part] = NEUTRAL if forest is None else 1.0 / (1.0 + np.exp(5.0 * forest.score_samples(x[part])))
+                raw[part] = 0.6 * stat[part] + 0.4 * if_score[part]
+                normal = raw[part] < threshold
+                held = (held + list(x[part][normal]))[-MOST:]
+                seen += end - start
+                if seen % every == 0 and normal[-1] and len(held) >= LEAST:
+                    forest = IsolationForest(seed=seed).fit(np.array(held))
+                start = end
+            yield pdf.drop(columns="_s").assign(if_score=if_score, score=np.round(raw, 4), is_anomalous=raw >= threshold)[out.names]
+
+    return rows.repartition(spark.sparkContext.defaultParallelism, "_s").sortWithinPartitions("_s", *order).mapInPandas(run, out)
+
+
+def trainer_scores(rows: DataFrame, order: list[str], bucket: str) -> DataFrame:
+    """Scores as a trainer takes them: every row one event of a single entity; features are those of :data:`TRAINER`."""
+    one = rows.withColumns({"audit_entity": F.lit("audit_host"), "event_count": F.lit(1.0), **{k: F.col(v).cast("double") for k, v in TRAINER.items()}})
+    names = ["event_count", *TRAINER]
+    return scores(zscores(one, "audit_entity", order, names, bucket), names)
+
+
+# The trainer's names of the features it scores by.
+TRAINER = {"process_access": "process_access_count", "registry_mod": "registry_mod_count", "failed_login": "failed_login_count", "network_flow": "network_flow_count"}

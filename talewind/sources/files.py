@@ -10,11 +10,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from talewind.operators.sessions import dense
+from talewind.spool import Spool
+
 HOST_FILES = ("host", "windows", "endpoint")  # fixed values: kinds of scenario files that hold events
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, member, line_no, line)`` of the .json, .ndjson and .jsonl members of archives; blank lines are skipped.
+def zipped_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, member, line_no, line)`` of the .json, .ndjson and .jsonl members of archives below a folder, or of the given ones; blank lines are skipped.
 
     An archive can't be split, so it is the unit of parallelism; its lines are streamed out in blocks.
     """
@@ -46,21 +49,20 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")).filter("trim(line) <> ''")
 
 
-def records(lines: DataFrame, *order: str) -> DataFrame:
-    """``(seq, record, bad_json)``: JSON objects as maps of strings with a dense number in the given order; null values are left out."""
+def records(lines: DataFrame, *order: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(seq, record, bad_json, *keep)``: JSON objects as maps of strings with a dense number from 1 in the given order; null values are left out."""
     m = F.from_json("line", "map<string,string>")
     good = lines.withColumn("record", F.map_filter(m, lambda k, v: v.isNotNull()))
-    from pyspark.sql import Window
+    split = good.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_at"), "record", *keep)
+    numbered = dense(Spool(lines.sparkSession, "records").cut(split, "records"), "_at", "seq")
+    return numbered.select((F.col("seq") + 1).alias("seq"), "record", F.col("record").isNull().alias("bad_json"), *keep)
 
-    part = Window.partitionBy("_p").orderBy(*order)
-    split = good.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = split.groupBy("_p").count().orderBy("_p").collect()  # one row per task
-    start, rows = 0, []
-    for r in sizes:
-        rows.append((r["_p"], start))
-        start += r["count"]
-    off = lines.sparkSession.createDataFrame(rows, "_p int, _o long")
-    return split.join(F.broadcast(off), "_p").select((F.row_number().over(part) + F.col("_o")).cast("long").alias("seq"), "record", F.col("record").isNull().alias("bad_json"))
+
+def validation(parsed: DataFrame) -> DataFrame:
+    """``(parsed, dropped, no_parser, no_timestamp)`` of :func:`talewind.operators.parse.parse`; a line that is no JSON is neither."""
+    r = F.col("reason")
+    return parsed.agg(
+        F.count_if(r.isNull()).alias("parsed"), F.count_if(r.isin("malformed", "no_parser", "no_timestamp", "bad_timestamp")).alias("dropped"), F.count_if(r == "no_parser").alias("no_parser"), F.count_if(r == "no_timestamp").alias("no_timestamp"))
 
 
 def from_dicts(spark: SparkSession, raw: list[dict]) -> DataFrame:
@@ -74,9 +76,19 @@ def auth_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, names trimmed, and ``ordinal``, which grows with the file's rows."""
+    """CSV with a header, names trimmed, and ``ordinal``: the number of the row, from 0, in the order of files and lines.
+
+    Every split's rows are numbered where they are read; one row per split reaches the driver.
+    """
     df = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").csv(path)
-    return df.toDF(*(c.strip() for c in df.columns)).withColumn("ordinal", F.monotonically_increasing_id())
+    names = [c.strip() for c in df.columns]
+    df = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_at")).toDF(*names, "_f", "_b", "_at")
+    start, rows = 0, []
+    for r in df.groupBy("_f", "_b").agg(F.min("_at").alias("first"), F.count("*").alias("n")).orderBy("_f", "_b").collect():
+        rows.append((r["_f"], r["_b"], start - r["first"]))
+        start += r["n"]
+    off = spark.createDataFrame(rows, "_f string, _b long, _off long")
+    return df.join(F.broadcast(off), ["_f", "_b"]).select(*(F.col(f"`{c}`") for c in names), (F.col("_at") + F.col("_off")).alias("ordinal"))  # one row per split
 
 
 def scenarios(spark: SparkSession, root: str) -> DataFrame:
@@ -112,11 +124,11 @@ def mappings_of(scen: DataFrame) -> DataFrame:
 
 
 def resolve_links(scen: DataFrame, archives: DataFrame) -> DataFrame:
-    """``(scenario_id, path)``: a link's local file by its path below the download prefix, else the smallest path of that base name."""
+    """``(scenario_id, url, path)``: a link's local file by its path below the download prefix, else the smallest path of that base name."""
     link = scen.select("scenario_id", F.explode("links").alias("link")).withColumn("tail", F.substring_index("link", "Security-Datasets/master/", -1)).withColumn("base", F.substring_index("link", "/", -1))
     a = archives.select("path").withColumn("base", F.substring_index("path", "/", -1))
     m = link.join(a, "base").withColumn("exact", F.expr("endswith(path, tail)"))
-    return m.groupBy("scenario_id", "link").agg(F.min_by("path", F.struct(~F.col("exact"), F.col("path"))).alias("path")).select("scenario_id", "path")
+    return m.groupBy("scenario_id", "link").agg(F.min_by("path", F.struct(~F.col("exact"), F.col("path"))).alias("path")).select("scenario_id", F.col("link").alias("url"), "path")
 
 
 def stix_techniques(spark: SparkSession, path: str) -> DataFrame:
@@ -156,16 +168,31 @@ def corpus(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def activities(spark: SparkSession, path: str) -> DataFrame:
-    """Stored activities; missing times are patched with the epoch."""
-    a = spark.read.option("multiLine", "true").option("pathGlobFilter", "activity_*.json").option("recursiveFileLookup", "true").schema("activity_id string, scenario_id string, host string, start_time string, end_time string").json(path)
+def activities(spark: SparkSession, path: str, names: str = "activity_*.json", whole: bool = True) -> DataFrame:
+    """Stored activities, one a file or (``whole`` false) one a line; missing times are patched with the epoch."""
+    a = spark.read.option("multiLine", str(whole).lower()).option("pathGlobFilter", names).option("recursiveFileLookup", "true").schema("activity_id string, scenario_id string, host string, start_time string, end_time string").json(path)
     patch = lambda c: F.coalesce(F.col(c).try_cast("timestamp"), F.lit("1970-01-01 00:00:00").cast("timestamp"))
     return a.withColumns({c: patch(c) for c in ("start_time", "end_time")})
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of files, for the download manifest."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, path: str, links: DataFrame | None = None) -> DataFrame:
+    """``(scenario, url, path, bytes, sha256, downloaded_at)`` of files, the manifest of a download.
+
+    ``links`` ``(scenario_id, url, path)`` say where files came from; others have a null scenario and url.  A file's
+    time of change is the time it was downloaded.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("downloaded_at"))
+    if links is None:
+        return f.select(F.lit(None).cast("string").alias("scenario"), F.lit(None).cast("string").alias("url"), "path", "bytes", "sha256", "downloaded_at")
+    return f.join(links.select(F.col("scenario_id").alias("scenario"), "url", "path"), "path", "left").select("scenario", "url", "path", "bytes", "sha256", "downloaded_at")
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, through the file system its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(content))
+    out.close()
 
 
 def write_json(df: DataFrame, path: str) -> None:
