@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talewind.functions.normalize import name_key
 from talewind.operators import benign, evaluate, features, graph, labels, parse, retrieval, sessions, transitions, twin, ueba
-from talewind.operators.attribution import leave_one_group_out, serve
+from talewind.operators.attribution import Attribution, leave_one_group_out, serve
+from talewind.operators.incidents import follow_up
 from talewind.operators.hygiene import Hygiene, correlations
 from talewind.operators.session_store import bridge, local_sessions
 from talewind.sources.tables import table
@@ -35,7 +36,9 @@ def parse_drop_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return parse.drop_counts(parse.parse(records(spark, sf)))
 
 
-_ATTRS = ("guid", "pid", "image", "parent_guid", "source_ip", "dest_port", "path", "type", "extension", "hive", "key_path", "value_name", "operation", "sid", "account", "logon_type", "elevated")
+_ATTRS = (
+    "guid", "pid", "image", "command_line", "parent_guid", "parent_image", "user", "integrity", "hashes", "company", "original_filename", "source_ip", "dest_ip", "source_port", "dest_port", "protocol", "path", "type", "extension",
+    "hive", "key_path", "value_name", "operation", "sid", "account", "domain", "logon_id", "logon_type", "authentication_package", "elevated")
 
 
 def parse_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +56,7 @@ def _built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Spool]:
 
 
 def session_members(spark: SparkSession, sf: str) -> DataFrame:
-    return _built(spark, sf)[1]
+    return _built(spark, sf)[1].select("seq", "kind", "session")
 
 
 def session_process_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,12 +67,12 @@ def session_process_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def session_table(spark: SparkSession, sf: str) -> DataFrame:
     ev, m, _ = _built(spark, sf)
-    return sessions.session_table(ev, m).select("kind", "session", "host", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events", "kind_rank")
+    return sessions.session_table(m).select("kind", "session", "host", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events", "kind_rank")
 
 
 def session_stats(spark: SparkSession, sf: str) -> DataFrame:
     ev, m, _ = _built(spark, sf)
-    return sessions.session_stats(sessions.session_table(ev, m))
+    return sessions.session_stats(sessions.session_table(m))
 
 
 def session_ownership(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,12 +82,12 @@ def session_ownership(spark: SparkSession, sf: str) -> DataFrame:
 def session_top10(spark: SparkSession, sf: str) -> DataFrame:
     """The ten largest sessions that are no logon sessions."""
     ev, m, _ = _built(spark, sf)
-    return sessions.session_table(ev, m).orderBy(F.desc("n_events"), "kind", "session").limit(10).filter("kind <> 'logon'").select("kind", "session", "n_events")
+    return sessions.session_table(m).orderBy(F.desc("n_events"), "kind", "session").limit(10).filter("kind <> 'logon'").select("kind", "session", "n_events")
 
 
 def session_event_histogram(spark: SparkSession, sf: str) -> DataFrame:
     ev, m, _ = _built(spark, sf)
-    return sessions.event_histogram(ev, m)
+    return sessions.event_histogram(m)
 
 
 def session_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +121,7 @@ def session_gap_audit(spark: SparkSession, sf: str) -> DataFrame:
 # ---- features ---------------------------------------------------------------------------------------------------
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     ev, m, sp = _built(spark, sf)
-    return features.session_features(features.feature_inputs(ev).join(m, "seq"), "kind", "session")
+    return features.session_features(features.feature_inputs(ev).join(m.select("seq", "kind", "session"), "seq"), "kind", "session")
 
 
 def features_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,26 +173,30 @@ def label_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- benign corpora ---------------------------------------------------------------------------------------------
-def _ragged(df: DataFrame, *names: str) -> DataFrame:
+def ragged(df: DataFrame, *names: str) -> DataFrame:
     return df.select("activity_id", *(F.col("features")[n].alias(n.lower().replace(" ", "_").replace("/", "_")) for n in names))
 
 
-def benign_auth(spark: SparkSession, sf: str) -> DataFrame:
-    u = table(spark, sf, "user_entities")
+def auth_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Authentication lines ``(value)`` made of the logons."""
     line = F.concat_ws(",", F.col("user_key").cast("string"), F.coalesce("account_name", F.lit("?")), F.coalesce("account_name", F.lit("?")), "host", F.when(F.col("user_key") % 2 == 0, F.col("host")).otherwise("dc"), F.lit("Kerberos"), F.coalesce(F.col("logon_type").cast("string"), F.lit("")), F.lit("LogOn"), F.when(F.col("user_key") % 3 == 0, "Failure").otherwise("Success"))
-    return _ragged(benign.auth_features(u.select(line.alias("value"))), "auth_count", "auth_fail", "remote_auth")
+    return table(spark, sf, "user_entities").select(line.alias("value"))
+
+
+def benign_auth(spark: SparkSession, sf: str) -> DataFrame:
+    return ragged(benign.auth_features(auth_text(spark, sf)), "auth_count", "auth_fail", "remote_auth")
 
 
 def benign_flows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.col("l_quantity").cast("string").alias(" Flow Duration"), F.when(F.col("l_linenumber") == 2, "n/a").otherwise(F.col("l_extendedprice").cast("string")).alias("Total Fwd Packets"),
         F.when(F.col("l_returnflag") == "N", " Benign ").otherwise("PortScan").alias(" Label"))
-    return _ragged(benign.flow_features(rows, "ordinal"), *benign.FLOW_COLUMNS)
+    return ragged(benign.flow_features(rows, "ordinal"), *benign.FLOW_COLUMNS)
 
 
 def benign_network(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_size").cast("string").alias("size"), F.when(F.col("p_size") > 25, F.col("p_retailprice").cast("string")).otherwise("-").alias("price"), "p_brand", F.when(F.col("p_partkey") % 2 == 0, "Normal").otherwise("ddos").alias("type"))
-    return _ragged(benign.network_features(rows, "ordinal"), "size", "price", "p_brand")
+    return ragged(benign.network_features(rows, "ordinal"), "size", "price", "p_brand")
 
 
 # ---- anomaly scores ---------------------------------------------------------------------------------------------
@@ -211,8 +218,10 @@ UEBA = ["event_count", "process_access_count", "registry_mod_count", "failed_log
 
 
 def _ueba_sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, Spool]:
+    """Features and the session table in one aggregate."""
     ev, m, sp = _built(spark, sf)
-    f = features.session_features(features.feature_inputs(ev).join(m, "seq"), "kind", "session").join(sessions.session_table(ev, m), ["kind", "session"])
+    table_ = {"start": F.min("ts"), "end": F.max("ts"), "host": F.min("host"), "n_events": F.count("*"), "kind_rank": F.min(sessions.kind_rank())}
+    f = features.session_features(features.feature_inputs(ev).join(m.select("seq", "kind", "session"), "seq"), "kind", "session", **table_)
     return sp.cut(f.withColumn("event_count", F.col("n_events").cast("double")).withColumn("day", F.to_date("start")), "features"), sp
 
 
@@ -224,18 +233,34 @@ def ueba_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ueba_trained(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's own rule: one stream of sessions in output order, the forest retrained as it goes."""
+    f, sp = _ueba_sessions(spark, sf)
+    order = ["start", "kind_rank", "session"]
+    z = sp.cut(ueba.scores(ueba.zscores(f, "host", order, UEBA, "day"), UEBA).select("kind", *order, "stat_score", "contributing", *UEBA), "scored")
+    return ueba.serial_scores(z, UEBA, order).select("kind", "session", "score", "is_anomalous")
+
+
+def ueba_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch form: sessions of the later half are scored by a forest of the earlier half."""
     f, sp = _ueba_sessions(spark, sf)
     order = ["start", "kind_rank", "session"]
     z = sp.cut(ueba.scores(ueba.zscores(f, "host", order, UEBA, "day"), UEBA).select("kind", *order, "is_anomalous", *UEBA, *(f"z_{u}" for u in UEBA)), "scored")
-    return ueba.scores(ueba.with_forest(z.drop("start", "kind_rank"), UEBA, z, order), UEBA, "if_score").select("kind", "session", "score", "is_anomalous")
+    half = z.select(F.percentile_approx(F.unix_micros("start"), 0.5)).first()[0] or 0
+    late = z.filter(F.unix_micros("start") > half)
+    return ueba.scores(ueba.with_forest(late, UEBA, z.filter(F.unix_micros("start") <= half), order), UEBA, "if_score").select("kind", "session", "score", "is_anomalous")
 
 
 # ---- hygiene, metrics, audits -----------------------------------------------------------------------------------
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def hygiene_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers with a scaled, a constant and an artefact column."""
+    return table(spark, sf, "lineitem").select(*_NUM, (F.col("l_quantity") * 3).alias("scaled"), F.lit(7.0).alias("fixed"), F.col("l_tax").alias("vmware_tools_flag"))
+
+
 def hygiene_columns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select(*_NUM, (F.col("l_quantity") * 3).alias("scaled"), F.lit(7.0).alias("fixed"), F.col("l_tax").alias("vmware_tools_flag"))
+    rows = hygiene_rows(spark, sf)
     h = Hygiene().fit(rows, rows.columns)
     out = [(c, s) for s, cs in (("kept", h.kept), ("artefact", h.artefacts), ("constant", h.constant), ("correlated", h.correlated)) for c in cs]
     return spark.createDataFrame(out, "column string, status string")
@@ -249,35 +274,35 @@ def hygiene_corr(spark: SparkSession, sf: str) -> DataFrame:
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 
 
-def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Probabilities made of whole numbers from the event's id, so that every engine agrees on them."""
     w = [(F.col("event_id") * (i + 3)) % 97 + 1 for i in range(len(CLASSES))]
     total = sum(w[1:], w[0])
-    return table(spark, sf, "events").select(F.col("event_type").alias("y"), F.array(*(x / total for x in w)).alias("proba")).withColumn("pred", evaluate.predicted(CLASSES))
+    return table(spark, sf, "events").select((F.col("event_id") % 5).alias("group"), F.col("event_type").alias("y"), F.array(*(x / total for x in w)).alias("proba")).withColumn("pred", evaluate.predicted(CLASSES))
 
 
 def metrics_macro(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.macro(_predictions(spark, sf))
+    return evaluate.macro(predictions(spark, sf))
 
 
 def metrics_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.top_k(_predictions(spark, sf), CLASSES)
+    return evaluate.top_k(predictions(spark, sf), CLASSES)
 
 
 def metrics_ece(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.calibration_error(_predictions(spark, sf))
+    return evaluate.calibration_error(predictions(spark, sf))
 
 
 def metrics_brier(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.brier(_predictions(spark, sf), CLASSES)
+    return evaluate.brier(predictions(spark, sf), CLASSES)
 
 
 def metrics_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.confusion_matrix(_predictions(spark, sf), CLASSES)
+    return evaluate.confusion_matrix(predictions(spark, sf), CLASSES)
 
 
 def metrics_majority(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.majority(_predictions(spark, sf))
+    return evaluate.majority(predictions(spark, sf))
 
 
 def dup_vector_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,17 +315,17 @@ def evidence_retention(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- transitions, twin ------------------------------------------------------------------------------------------
-def _steps(spark: SparkSession, sf: str) -> DataFrame:
+def steps(spark: SparkSession, sf: str) -> DataFrame:
     t = F.when(F.get_json_object("props", "$.k").cast("int") % 10 == 0, "").otherwise(F.concat("event_type", F.lit("."), F.col("event_id") % 3))
     return transitions.multistage(transitions.sequences(table(spark, sf, "events").select(F.col("user_id").alias("scenario_id"), F.col("event_id").alias("pos"), t.alias("technique"))))
 
 
 def transition_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return transitions.matrix(_steps(spark, sf)).select("src", "dst", "support", F.round("prob", 6).alias("prob"))
+    return transitions.matrix(steps(spark, sf)).select("src", "dst", "support", F.round("prob", 6).alias("prob"))
 
 
 def next_step_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return transitions.next_steps(transitions.matrix(_steps(spark, sf)), 3).select("src", "dst", "rank", "support")
+    return transitions.next_steps(transitions.matrix(steps(spark, sf)), 3).select("src", "dst", "rank", "support")
 
 
 def _twin(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -308,7 +333,7 @@ def _twin(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     assets = n.select(F.col("a").alias("asset_id"), (F.col("a") % 4).alias("tier"))
     two = n.select(F.col("a").alias("src"), ((2 * F.col("a") + 1) % 25).alias("dst")).unionByName(n.select(F.col("a").alias("src"), ((3 * F.col("a") + 2) % 25).alias("dst"))).distinct().filter("src <> dst")
     names = F.array(*map(F.lit, twin.COSTS))
-    return assets, two.select((F.col("src") * 25 + F.col("dst")).alias("seq"), "src", "dst", names[(F.col("src") + F.col("dst")) % 8].alias("technique")), n.filter("a < 5").select(F.col("a").alias("asset_id"))
+    return assets, two.select((F.col("src") * 25 + F.col("dst")).alias("seq"), "src", "dst", names[(F.col("src") + F.col("dst")) % 8].alias("technique")), n.select(F.col("a").alias("asset_id"))
 
 
 def _reach(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -329,6 +354,25 @@ def twin_blast_radius(spark: SparkSession, sf: str) -> DataFrame:
     return twin.blast_radius(*_reach(spark, sf))
 
 
+def twin_request(spark: SparkSession, sf: str) -> DataFrame:
+    """A request in other spellings, normalised and shown as the topology it gives."""
+    assets, edges, _ = _twin(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    a = assets.select(F.col("asset_id").alias("seq"), F.when(F.col("asset_id") % 2 == 0, F.create_map(F.lit("id"), text("asset_id"), F.lit("tier"), text("tier"))).otherwise(F.create_map(F.lit("asset_id"), text("asset_id"), F.lit("tier"), text("tier"))).alias("record"))
+    e = edges.select("seq", F.create_map(F.lit("from"), text("src"), F.lit("target_id"), text("dst"), F.lit("technique"), F.col("technique")).alias("record"))
+    nodes, links = twin.normalized(a, e)
+    shown = twin.export(nodes, twin.topology(nodes, links))[1]
+    return shown.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "technique", "weight")
+
+
+def twin_whatif(spark: SparkSession, sf: str) -> DataFrame:
+    """Cheapest paths after an edge is cut, one is added and an asset is hardened."""
+    assets, edges, starts = _twin(spark, sf)
+    g = twin.topology(assets, edges)
+    g = twin.modify(g, [{"op": "remove_edge", "from_asset": 1, "to_asset": 3}, {"op": "add_edge", "from_asset": 24, "to_asset": 7}, {"op": "harden_node", "node_id": 5}])
+    return twin.reach(g, starts, Spool(spark, "twin")).select("start", "asset", F.round("cost", 3).alias("cost"))
+
+
 # ---- retrieval, graphs, attribution -----------------------------------------------------------------------------
 def retrieval_cosine(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
@@ -337,7 +381,7 @@ def retrieval_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 def retrieval_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.tfidf_search(table(spark, sf, "documents").select("doc_id", "text", "source"), q).select("query_id", "rank", F.round("score", 4).alias("score"))
+    return retrieval.tfidf_search(table(spark, sf, "documents").select("doc_id", "text", "source"), q).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 def retrieval_by_technique(spark: SparkSession, sf: str) -> DataFrame:
@@ -347,7 +391,7 @@ def retrieval_by_technique(spark: SparkSession, sf: str) -> DataFrame:
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Spool]:
     ev, m, sp = _built(spark, sf)
     nodes = sp.cut(graph.node_index(sessions.session_entities(ev, m)), "nodes")
-    return nodes, sp.cut(graph.edge_list(sessions.session_edges(ev, m), nodes), "edges"), sp
+    return nodes, sp.cut(graph.edge_list(sessions.session_edges(ev, m, nodes), nodes), "edges"), sp
 
 
 def graph_node_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,28 +405,83 @@ def graph_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_node_features(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, _ = _graph(spark, sf)
-    return graph.node_features(nodes, graph.degrees(nodes, edges))
+    f = graph.node_features(nodes, graph.degrees(nodes, edges))
+    return f.withColumns({c: F.round(c, 6) for c in f.columns if c.endswith("log1p")})
 
 
 def graph_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return graph.class_weights(table(spark, sf, "built_dataset"), "y_primary").withColumn("weight", F.round("weight", 6))
 
 
-def attribution_loso(spark: SparkSession, sf: str) -> DataFrame:
+def graph_content(spark: SparkSession, sf: str) -> DataFrame:
+    """How many sessions share their graph's content, and in how many kinds."""
+    nodes, edges, _ = _graph(spark, sf)
+    h = graph.content_hashes(graph.node_features(nodes, graph.degrees(nodes, edges)), edges)
+    return h.groupBy("hash").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("n_contents"))
+
+
+def graph_label_map(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.label_map(table(spark, sf, "built_dataset").select(name_key(F.col("scenario_id")).alias("scenario")), "scenario")
+
+
+def graph_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents with more than one label, on records hashed by their size and evidence."""
+    d = table(spark, sf, "built_dataset").select(F.sha2(F.concat_ws("|", F.coalesce("event_count", F.lit(-1)), F.coalesce(F.col("has_evidence").cast("string"), F.lit("?"))), 256).alias("hash"), "y_primary")
+    return graph.conflicts(d, "y_primary").select("n", "n_labels")
+
+
+def parse_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Event times in ten spellings, a general one among them, read back; every tenth one has no date."""
+    ev = table(spark, sf, "canonical_events").filter("timestamp is not null").select("seq", F.date_trunc("second", "timestamp").alias("t"))
+    spell = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "MMM d yyyy HH:mm:ss", "EEE, d MMM yyyy HH:mm:ss Z", "yyyy/M/d H:mm:ss", "yyyyMMddHHmmss", "d MMMM yyyy, HH:mm:ss", "HH:mm:ss"]
+    text = F.coalesce(*(F.when(F.col("seq") % 10 == i, F.date_format("t", f)) for i, f in enumerate(spell)))
+    rec = ev.select("seq", F.create_map(F.lit("EventID"), F.lit("1"), F.when(F.col("seq") % 3 == 0, "UtcTime").when(F.col("seq") % 3 == 1, "EventTime").otherwise("SystemTime"), text).alias("record"))
+    return parse.parse(rec, general=True).select("seq", "reason", F.unix_micros("ts").alias("ts_us"))
+
+
+def session_position(spark: SparkSession, sf: str) -> DataFrame:
+    _, m, sp = _built(spark, sf)
+    return sessions.with_position(sessions.session_table(m), sp).select("kind", "session", "position")
+
+
+def session_tree_stats(spark: SparkSession, sf: str) -> DataFrame:
+    sp = Spool(spark, "tree")
+    return sessions.tree_stats(sessions.process_trees(sessions.process_nodes(sp.cut(sessions.slim(_events(spark, sf)), "slim")), sp))
+
+
+def labelled_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """``(vec_id, features..., label, grp)`` of all values of the embeddings, and the features' names."""
     e = table(spark, sf, "embeddings")
     names = [f"f{i:02d}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
-    v = e.select(*(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)), F.concat(F.lit("T"), F.col("label")).alias("label"), (F.col("vec_id") % 5).alias("grp"))
+    return e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)), F.concat(F.lit("T"), F.col("label")).alias("label"), (F.col("vec_id") % 5).alias("grp")), names
+
+
+def attribution_loso(spark: SparkSession, sf: str) -> DataFrame:
+    v, names = labelled_vectors(spark, sf)
     return leave_one_group_out(v, names, "label", "grp").select("group", "y", "pred", F.round(F.array_max("proba"), 4).alias("confidence"))
 
 
-def incident_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Parse, sessions, features, anomaly (untrained forest), attribution (no model), one JSON document per session; the stages after attribution are left out."""
+def incidents(spark: SparkSession, sf: str, model: Attribution | None) -> DataFrame:
+    """Parse, sessions, features, anomaly and attribution; where a technique is known, the steps that follow it and whether there is evidence; one JSON document a session."""
     f, _ = _ueba_sessions(spark, sf)
-    z = serve(None, ueba.scores(ueba.zscores(f, "host", ["start", "kind_rank", "session"], UEBA, "day"), UEBA))
-    body = F.to_json(F.struct("host", "start", "end", "n_events", F.struct("score", "is_anomalous", "contributing").alias("anomaly"), F.struct("status", "technique", "confidence").alias("attribution")))
+    z = serve(model, ueba.scores(ueba.zscores(f, "host", ["start", "kind_rank", "session"], UEBA, "day"), UEBA))
+    after = follow_up(transitions.matrix(steps(spark, sf)), retrieval.by_technique(table(spark, sf, "documents")), z.select("technique"))
+    z = z.join(F.broadcast(after), "technique", "left")  # one row per technique of the model
+    body = F.to_json(F.struct(
+        "host", "start", "end", "n_events", F.struct("score", "is_anomalous", "contributing").alias("anomaly"), F.struct("status", "technique", "confidence", "top").alias("attribution"),
+        F.col("steps").alias("predicted_next"), F.coalesce("evidence", F.lit(False)).alias("evidence_available")))
     return z.select("kind", "session", "status", body.alias("incident"))
 
 
+def incident_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain by a model fitted on the labelled dataset of the archives."""
+    from talewind.plans import io
+
+    rows, _, _ = io._dataset(spark, sf)
+    model = Attribution(list(features.FEATURES)).fit(rows, "train_target", "scenario_id")
+    return incidents(spark, sf, model)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -390,5 +489,6 @@ QUERIES = {
         session_edges, session_gap_300, session_gap_12h, session_gap_audit, features_all, evidence_filter, feature_basename_ext, dataset_audit, hash_fields, label_sets, label_space, label_project, label_targets,
         benign_auth, benign_flows, benign_network, ueba_welford, ueba_untrained, ueba_sessions, ueba_trained, hygiene_columns, hygiene_corr, metrics_macro, metrics_topk, metrics_ece, metrics_brier, metrics_confusion,
         metrics_majority, dup_vector_audit, evidence_retention, transition_matrix, next_step_topk, twin_reach, twin_critical, twin_blast_radius, retrieval_cosine, retrieval_tfidf, retrieval_by_technique,
-        graph_node_index, graph_degrees, graph_node_features, graph_class_weights, attribution_loso, incident_report)
+        graph_node_index, graph_degrees, graph_node_features, graph_class_weights, graph_content, graph_label_map, graph_conflicts, attribution_loso, incident_report, ueba_batches, twin_request, twin_whatif, parse_times,
+        session_position, session_tree_stats)
 }

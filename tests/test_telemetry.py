@@ -53,7 +53,7 @@ def test_entities_and_edges(spark):
 
 def test_sessions_of_two_hosts(spark, spool):
     ev, m = build(spark, spool, [PROCESS, ACCESS, LOGON_A, LOGON_B])
-    t = {(r.kind, r.host, r.n_events) for r in sessions.session_table(ev, m).collect()}
+    t = {(r.kind, r.host, r.n_events) for r in sessions.session_table(m).collect()}
     assert t == {("tree", "HOSTA", 2), ("logon", "HOSTA", 1), ("logon", "HOSTB", 1)}
     assert sessions.ownership_violations(m).count() == 0
     ends = {r.entity_id for r in sessions.session_entities(ev, m).collect()}
