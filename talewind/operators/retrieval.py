@@ -1,4 +1,4 @@
-"""Ranked retrieval over documents: TF-IDF by term joins, vectors by blocks of queries, exact technique look-up."""
+"""Ranked retrieval over documents: TF-IDF and vectors by blocks of queries, exact technique look-up."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from talewind.spool import Spool
-
 #: English function words left out of the vocabulary; a parameter of :func:`vocabulary`.
 STOP_WORDS = (
     "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "before", "but", "by", "can", "each", "for", "from", "had", "has", "have", "how", "if", "in", "into", "is", "it",
@@ -18,42 +16,85 @@ STOP_WORDS = (
 )
 
 
-def terms(docs: DataFrame, id_: str, text: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """``(id, term, tf)``: lower-case words of at least two letters, digits or underscores."""
-    w = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("term")
-    return docs.filter(F.col(text).isNotNull()).select(F.col(id_).alias("id"), w).filter(~F.col("term").isin(*stop)).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Lower-case words of at least two letters, digits or underscores, in order; stop words left out."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda t: ~t.isin(*stop))
 
 
-def vocabulary(tf: DataFrame, n_docs: Column, size: int = 4096) -> DataFrame:
-    """``(term, idf)``: the ``size`` terms of most occurrences (smaller first among equals), smoothed idf."""
-    v = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(size)
-    return v.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+def vocabulary(docs: DataFrame, text: str, size: int = 4096) -> list[tuple[str, float]]:
+    """``(term, idf)`` of the ``size`` terms of most occurrences (smaller first among equals), with smoothed idf, over all documents.
 
+    Occurrences are counted inside their tasks; what moves is a row per term and task.
+    """
+    t = F.col("t")
+    both = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))), F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+    some = docs.filter(F.col(text).isNotNull())
+    n = some.count()
+    v = some.select(tokens(F.col(text)).alias("t")).select(F.inline(both)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df")).orderBy(F.desc("total"), "term").limit(size)
+    return [(r.term, float(np.log((1 + n) / (1 + r.df)) + 1)) for r in v.collect()]  # at most ``size`` rows
+
+
+def _vectors(lists: list, at: dict[str, int], idf: np.ndarray) -> np.ndarray:
+    """Rows of tf times idf, each of length 1 (0 where no term is known)."""
+    out = np.zeros((len(lists), len(idf)))
+    for i, ts in enumerate(lists):
+        for t in ts if ts is not None else ():
+            if (j := at.get(t)) is not None:
+                out[i, j] += 1
+    out *= idf
+    return _unit(out)
+
+
+def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, size: int = 4096, sources: list[str] | None = None, block: int = 1_000) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``: top documents of ``(doc_id, text[, source])`` for each ``(query_id, text)``.
 
-def weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(id, term, w)``: tf times idf, each text's vector of length 1."""
-    x = tf.join(vocab, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return x.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    Document vectors are made in place, a few hundred at a time; the stated query set goes to the tasks in blocks, and
+    every task keeps its k best per query, so what is shuffled is k rows per query and task.  The source filter acts
+    before the cut, the vocabulary (``size`` terms, a parameter) is that of all documents.  Blank queries and an empty
+    corpus give no rows, and so do documents that share no term with a query.
+    """
+    vocab = vocabulary(docs, "text", size)
+    at, idf = {t: i for i, (t, _) in enumerate(vocab)}, np.array([w for _, w in vocab])
+    some = docs.filter("text is not null") if sources is None else docs.filter(F.col("text").isNotNull() & F.col("source").isin(sources))
+    some = some.select("doc_id", tokens(F.col("text")).alias("t"))
+    schema, out = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double", None
 
+    def against(rows: list) -> DataFrame:
+        ids, q = np.array([r.query_id for r in rows], object), _vectors([r.t for r in rows], at, idf)
 
-def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, size: int = 4096, sources: list[str] | None = None) -> DataFrame:
-    """``(query_id, doc_id, score, rank)``: top documents of ``(doc_id, text[, source])`` for each ``(query_id, text)``.
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: pd.DataFrame | None = None
+            for pdf in frames:
+                for i in range(0, len(pdf), 256):
+                    part = pdf.iloc[i : i + 256]
+                    s = np.round(q @ _vectors(part["t"].tolist(), at, idf).T, 6)
+                    which = np.argsort(-s, axis=1, kind="stable")[:, : min(len(part), k + 8)] if len(part) > k + 8 else np.broadcast_to(np.arange(len(part)), s.shape)
+                    low = np.take_along_axis(s, which, 1).min(1, keepdims=True)
+                    row, col = np.nonzero((s > 0) & (s >= low))  # all that can be among the best, ties included
+                    got = pd.DataFrame({"query_id": ids[row], "doc_id": part["doc_id"].to_numpy()[col], "score": s[row, col]})
+                    best = got if best is None else pd.concat([best, got], ignore_index=True)
+                    if len(best) > 50_000:
+                        best = _top(best, k)
+            if best is not None:
+                yield _top(best, k)
 
-    The source filter acts on the ranking, before the cut.  Blank queries and an empty corpus give no rows.  Only
-    documents that share a term with a query meet it.
-    """
-    spool = Spool(docs.sparkSession, "tfidf")
-    tf = spool.cut(terms(docs, "doc_id", "text"), "terms")
-    n = docs.filter("text is not null").count()
-    vocab = spool.cut(vocabulary(tf, F.lit(n), size), "vocabulary")
-    d = weights(tf, vocab).withColumnRenamed("id", "doc_id")
-    q = weights(terms(queries, "query_id", "text"), vocab).select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
-    s = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-    if sources is not None:
-        s = s.join(docs.filter(F.col("source").isin(sources)).select("doc_id"), "doc_id", "left_semi")
+        return some.mapInPandas(run, schema)
+
+    held: list = []
+    for r in queries.filter("text is not null").select("query_id", tokens(F.col("text")).alias("t")).toLocalIterator():
+        if any(t in at for t in r.t):
+            held.append(r)
+        if len(held) == block:
+            out, held = against(held) if out is None else out.unionByName(against(held)), []
+    if held or out is None:
+        more = against(held) if held else docs.sparkSession.createDataFrame([], schema)
+        out = more if out is None else out.unionByName(more)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _top(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
 
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2_000, sources: list[str] | None = None) -> DataFrame:

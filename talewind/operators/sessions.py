@@ -13,8 +13,8 @@ from talewind.spool import Spool
 WELL_KNOWN = ("0x0", "0x3e7", "0x3e4", "0x3e5")
 
 
-def slim(events: DataFrame) -> DataFrame:
-    """``(seq, host, ts, event_id, guid, parent, source, lid)``: all that sessions are built from, without the records.
+def slim(events: DataFrame, *keep: str) -> DataFrame:
+    """``(seq, host, ts, event_id, guid, parent, source, lid, *keep)``: all that sessions are built from, without the records.
 
     ``guid`` and ``parent`` are those a creation record names, ``source`` the process that acted in another event.
     """
@@ -24,7 +24,7 @@ def slim(events: DataFrame) -> DataFrame:
     parent = text(get("ParentProcessGuid"))
     lid = F.coalesce(*(F.when(~F.lower(get(k)).isin(*WELL_KNOWN), get(k)) for k in ("TargetLogonId", "LogonId", "SubjectLogonId")))
     return once(
-        events, "seq", "host", "ts", "event_id", guid=F.when(e == 1, text(get("ProcessGuid"))), parent=F.when((e == 1) & (parent != ZERO_GUID), parent),
+        events, "seq", "host", "ts", "event_id", *keep, guid=F.when(e == 1, text(get("ProcessGuid"))), parent=F.when((e == 1) & (parent != ZERO_GUID), parent),
         source=F.when(e.isin(3, 7, 11, 12, 13), F.trim(get("ProcessGuid"))).when(e == 10, F.trim(either("SourceProcessGUID", "SourceProcessGuid"))), lid=lid)
 
 
@@ -55,9 +55,11 @@ def build_sessions(events: DataFrame, spool: Spool, gap_s: int = 300, trees: Dat
 
     ``kind`` is tree, logon or gap; ``session`` is the smallest sequence number of the session's kind-specific key (the
     root's creation record for trees, the first event for the others).  Time never splits trees and logons; a gap of
-    exactly ``gap_s`` does not split the rest.  The records themselves are read once, for their few ids.
+    exactly ``gap_s`` does not split the rest.  The records themselves are read once, for their few ids;
+    ``events`` may be a written table of :func:`slim` too, with more columns.
     """
-    events = spool.cut(slim(events), "slim")
+    if "record" in events.columns:
+        events = spool.cut(slim(events), "slim")
     trees = process_trees(process_nodes(events), spool) if trees is None else trees
     every = spool.cut(events.select("seq", "host", "ts", "event_id", "lid").join(attach(events, trees), "seq", "left"), "owned")
     rest = every.filter("root_seq is null").withColumn("ts_us", F.unix_micros("ts"))

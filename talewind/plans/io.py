@@ -292,7 +292,7 @@ def retrieval_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest vectors of two of the labels only."""
     v = table(spark, sf, "embeddings").withColumn("source", F.concat(F.lit("s"), F.col("label") % 4))
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.cosine_search(v, q, sources=["s1", "s2"]).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return retrieval.cosine_search(v, q, sources=["s1", "s2"]).select("query_id", "vec_id", "score", "rank")
 
 
 QUERIES = {
@@ -364,7 +364,7 @@ select round(f, 6) macro_f1, round(pr, 6) macro_precision, round(re, 6) macro_re
 select position::int as position, strategy, samples, coalesce(coverage, 0) coverage, scenarios, classes, samples = 0 or scenarios < 2 or classes < 2 skipped from s""",
     "class_retention": f"with {_TARGETS} select train_target as \"label\", count(*) n, count(*) filter (where has_evidence) n_evidence, round(100.0 * count(*) filter (where has_evidence) / count(*), 4)::double as percent from x group by 1",
     "retrieval_by_source": """with s as (select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) s from embeddings q join embeddings v on v.label % 4 in (1, 2) where q.vec_id % 50 = 0)
-select query_id, vec_id, round(s, 4) score, rk as "rank" from (select *, row_number() over (partition by query_id order by s desc, vec_id) rk from s) where rk <= 5""",
+select query_id, vec_id, s score, rk as "rank" from (select *, row_number() over (partition by query_id order by s desc, vec_id) rk from s) where rk <= 5""",
 }
 ORACLE["source_auth"] = sql.ORACLE["benign_auth"]
 ORACLE["sink_matrix"] = sql.ORACLE["transition_matrix"]

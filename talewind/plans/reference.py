@@ -55,38 +55,45 @@ def _built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Spool]:
     return ev, sp.cut(sessions.build_sessions(ev, sp), "members"), sp
 
 
+def _narrow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Spool]:
+    """Like :func:`_built`, but of the records only what sessions and features need is ever written."""
+    sp = Spool(spark, "sessions")
+    ev = sp.cut(features.feature_inputs(sessions.slim(_events(spark, sf), "record")), "inputs")
+    return ev, sp.cut(sessions.build_sessions(ev, sp), "members"), sp
+
+
 def session_members(spark: SparkSession, sf: str) -> DataFrame:
-    return _built(spark, sf)[1].select("seq", "kind", "session")
+    return _narrow(spark, sf)[1].select("seq", "kind", "session")
 
 
 def session_process_tree(spark: SparkSession, sf: str) -> DataFrame:
     sp = Spool(spark, "tree")
-    t = sessions.process_trees(sessions.process_nodes(sp.cut(_events(spark, sf), "parsed")), sp)
+    t = sessions.process_trees(sessions.process_nodes(sp.cut(sessions.slim(_events(spark, sf)), "slim")), sp)
     return t.select("host", "guid", "seq", "root_seq", "is_root", "is_orphan")
 
 
 def session_table(spark: SparkSession, sf: str) -> DataFrame:
-    ev, m, _ = _built(spark, sf)
+    ev, m, _ = _narrow(spark, sf)
     return sessions.session_table(m).select("kind", "session", "host", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events", "kind_rank")
 
 
 def session_stats(spark: SparkSession, sf: str) -> DataFrame:
-    ev, m, _ = _built(spark, sf)
+    ev, m, _ = _narrow(spark, sf)
     return sessions.session_stats(sessions.session_table(m))
 
 
 def session_ownership(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.ownership_violations(_built(spark, sf)[1])
+    return sessions.ownership_violations(_narrow(spark, sf)[1])
 
 
 def session_top10(spark: SparkSession, sf: str) -> DataFrame:
     """The ten largest sessions that are no logon sessions."""
-    ev, m, _ = _built(spark, sf)
+    ev, m, _ = _narrow(spark, sf)
     return sessions.session_table(m).orderBy(F.desc("n_events"), "kind", "session").limit(10).filter("kind <> 'logon'").select("kind", "session", "n_events")
 
 
 def session_event_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    ev, m, _ = _built(spark, sf)
+    ev, m, _ = _narrow(spark, sf)
     return sessions.event_histogram(m)
 
 
@@ -120,8 +127,8 @@ def session_gap_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- features ---------------------------------------------------------------------------------------------------
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    ev, m, sp = _built(spark, sf)
-    return features.session_features(features.feature_inputs(ev).join(m.select("seq", "kind", "session"), "seq"), "kind", "session")
+    ev, m, sp = _narrow(spark, sf)
+    return features.session_features(ev.drop("host", "guid", "parent", "source", "lid").join(m.select("seq", "kind", "session"), "seq"), "kind", "session")
 
 
 def features_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,9 +226,9 @@ UEBA = ["event_count", "process_access_count", "registry_mod_count", "failed_log
 
 def _ueba_sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, Spool]:
     """Features and the session table in one aggregate."""
-    ev, m, sp = _built(spark, sf)
+    ev, m, sp = _narrow(spark, sf)
     table_ = {"start": F.min("ts"), "end": F.max("ts"), "host": F.min("host"), "n_events": F.count("*"), "kind_rank": F.min(sessions.kind_rank())}
-    f = features.session_features(features.feature_inputs(ev).join(m.select("seq", "kind", "session"), "seq"), "kind", "session", **table_)
+    f = features.session_features(ev.join(m.select("seq", "kind", "session"), "seq"), "kind", "session", **table_)
     return sp.cut(f.withColumn("event_count", F.col("n_events").cast("double")).withColumn("day", F.to_date("start")), "features"), sp
 
 
@@ -376,12 +383,12 @@ def twin_whatif(spark: SparkSession, sf: str) -> DataFrame:
 # ---- retrieval, graphs, attribution -----------------------------------------------------------------------------
 def retrieval_cosine(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    return retrieval.cosine_search(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return retrieval.cosine_search(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")).select("query_id", "vec_id", "score", "rank")
 
 
 def retrieval_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.tfidf_search(table(spark, sf, "documents").select("doc_id", "text", "source"), q).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return retrieval.tfidf_search(table(spark, sf, "documents").select("doc_id", "text", "source"), q).select("query_id", "rank", "doc_id", "score")
 
 
 def retrieval_by_technique(spark: SparkSession, sf: str) -> DataFrame:
@@ -440,7 +447,7 @@ def parse_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def session_position(spark: SparkSession, sf: str) -> DataFrame:
-    _, m, sp = _built(spark, sf)
+    _, m, sp = _narrow(spark, sf)
     return sessions.with_position(sessions.session_table(m), sp).select("kind", "session", "position")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from talewind.operators.features import BINARIES, EVENT_IDS, EXTENSIONS, FEATURES, PORTS, REGISTRY
 from talewind.operators.parse import SUPPORTED
+from talewind.operators.retrieval import STOP_WORDS
 from talewind.operators.twin import COSTS
 
 EV = rf"""
@@ -171,6 +172,15 @@ nd as (select nod.session, nod.node, nod.kind, ea.* exclude (session, entity_id,
 el as (select e.session, a.node a, b.node b from sedg e join nod a on a.session = e.session and a.entity_id = e.src join nod b on b.session = e.session and b.entity_id = e.dst),
 i as (select session, b node, count(*) n from el group by all), o as (select session, a node, count(*) n from el group by all)"""
 
+_TFIDF = rf"""with d as (select doc_id id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]{{2,}}')) t from documents where text is not null),
+q as (select item_id id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]{{2,}}')) t from eval_items where text is not null),
+dt as (select id, t, count(*) tf from d where t not in {STOP_WORDS} group by all), qt as (select id, t, count(*) tf from q group by all),
+v as (select t, ln((1 + (select count(text) from documents))::double / (1 + df)) + 1 idf from (select t, sum(tf) total, count(*) df from dt group by t order by total desc, t limit 4096)),
+dw as (select id, t, tf * idf w from dt join v using (t)), qw as (select id, t, tf * idf w from qt join v using (t)),
+dn as (select id, sqrt(sum(w * w)) n from dw group by id), qn as (select id, sqrt(sum(w * w)) n from qw group by id),
+s as (select qw.id query_id, dw.id doc_id, round(sum(qw.w * dw.w) / (any_value(qn.n) * any_value(dn.n)), 6) s from qw join dw using (t) join dn on dn.id = dw.id join qn on qn.id = qw.id group by all)
+select query_id, rk as "rank", doc_id, s score from (select *, row_number() over (partition by query_id order by s desc, doc_id) rk from s) where rk <= 5"""
+
 
 def _is(cond: str) -> str:
     return f"case when {cond} then 1.0 else 0.0 end::double"
@@ -246,7 +256,8 @@ select user_id host, (max(t) - min(t)) / 1000000.0::double duration_s, max(gap)
     "twin_critical": f"with recursive {_TWIN} select start, asset, c / 10.0::double total_cost, rk as \"rank\" from (select *, row_number() over (partition by start order by c, asset) rk from best where asset % 4 <= 1) where rk <= 5",
     "twin_blast_radius": f"with recursive {_TWIN} select n.a as start, count(asset) reachable_count, count(asset) filter (where asset % 4 <= 1) critical_reachable from n left join best on best.start = n.a group by n.a",
     "retrieval_cosine": """with s as (select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) s from embeddings q join embeddings v on true where q.vec_id % 50 = 0)
-select query_id, vec_id, round(s, 4) score, rk as "rank" from (select *, row_number() over (partition by query_id order by s desc, vec_id) rk from s) where rk <= 5""",
+select query_id, vec_id, s score, rk as "rank" from (select *, row_number() over (partition by query_id order by s desc, vec_id) rk from s) where rk <= 5""",
+    "retrieval_tfidf": _TFIDF,
     "retrieval_by_technique": "select distinct unnest(technique_ids) technique, doc_id from documents",
     "graph_node_index": f"with recursive {_SE} select session, entity_id, kind, node from nod",
     "graph_degrees": f"""with recursive {_SE}, el as (select e.session, a.node a, b.node b from sedg e join nod a on a.session = e.session and a.entity_id = e.src join nod b on b.session = e.session and b.entity_id = e.dst)
