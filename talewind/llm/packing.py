@@ -8,10 +8,12 @@ driver whatever the number of items; the items themselves are only ranked within
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from talewind.spool import Spool, partitions
@@ -114,15 +116,17 @@ def pack(items: DataFrame, spool: Spool, capacity: int) -> DataFrame:
 def token_counts(documents: DataFrame, text: str, vocabulary: str) -> DataFrame:
     """``documents`` with ``n_tokens``: length of the whole text in tokens of a byte-level BPE; null text has none.
 
-    ``vocabulary`` is the path of a rank file (base64 token, rank) every executor can read.
+    ``vocabulary`` is the path of a rank file (base64 token, rank) on the driver; it is sent to the executors once.
     """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     keep = [c for c in documents.columns if c != text]
     schema = documents.select(*keep).schema.add("n_tokens", "long")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = None
         for pdf in filter(len, frames):
-            enc = enc or load_encoding(vocabulary)
+            enc = enc or load_encoding(SparkFiles.get(name))
             yield pdf[keep].assign(n_tokens=pd.array([None if t is None else len(enc.encode_ordinary(t)) for t in pdf[text]], "Int64"))
 
     return documents.mapInPandas(count, schema)

@@ -112,5 +112,12 @@ select coalesce(min(g.g), b.row_id) group_id, b.row_id from built_dataset b left
     "p6_found": f"with {_RUNS} select min(step_key) first_step, max(step_key) last_step from s group by activity_id, s having count(*) >= 2",
     "p6_collapsed": f"with {_RUNS} select activity_id, min(step_key) first_step, count(*) n, (max(t) - min(t)) / 1000000.0::double duration_s from s group by activity_id, s",
     "p8_found": f"with {_LEAKS} select doc_id, item_id from leak",
+    "p8_longest": f"""with {_LEAKS},
+dk as (select doc_id, k, array_to_string(w[k:k+11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d where len(w) >= 12)),
+ik as (select item_id, k, array_to_string(w[k:k+11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) k from i where len(w) >= 12)),
+hit as (select doc_id, item_id, dk.k dk, ik.k ik from dk join ik using (g)),
+run as (select *, ik - row_number() over (partition by doc_id, item_id, dk - ik order by ik) r from hit),
+whole as (select doc_id, item_id, count(*) + 11 longest, min(ik) - 1 item_word, min(dk) - 1 doc_word from run group by doc_id, item_id, dk - ik, r)
+select doc_id, item_id, longest, item_word, doc_word from (select *, row_number() over (partition by doc_id, item_id order by longest desc, item_word, doc_word) n from whole) where n = 1""",
     "p8_clean": f"with {_LEAKS} select doc_id, n_chars from documents where doc_id not in (select doc_id from leak)",
 }

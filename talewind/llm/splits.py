@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from talewind.operators.components import components
-from talewind.spool import Spool, partitions
+from talewind.spool import Spool, partitions, small
 
 
 def related_groups(records: DataFrame, spool: Spool, names: list[str]) -> DataFrame:
@@ -38,8 +38,10 @@ def related_groups(records: DataFrame, spool: Spool, names: list[str]) -> DataFr
                 edges = edges.unionByName(pair.join(ids.select(F.col("name").alias("n0"), F.col("id").alias("a")), "n0").join(ids.select(F.col("name").alias("n1"), F.col("id").alias("b")), "n1").select("a", "b"))
     roots = components(edges, spool).select(F.col("v").alias("id"), "root")
     of_name = spool.cut(ids.join(roots, "id", "left").select(F.col("name"), F.floor(F.coalesce("root", "id") / width).alias("g")), "groups")
-    first = F.coalesce(*(F.col(c) for c in names))
-    return held.select("row_id", first.alias("name")).join(of_name, "name", "left").select("row_id", F.coalesce("g", "row_id").alias("group_id"))
+    named = held.select("row_id", F.coalesce(*(F.col(c) for c in names)).alias("name"))
+    # records without a name meet nothing; a name of very many records meets its group in a broadcast, or in a join whose large partitions are split at run time
+    found = named.filter("name is not null").join(small(of_name), "name").select("row_id", F.col("g").alias("group_id"))
+    return found.unionByName(named.filter("name is null").select("row_id", F.col("row_id").alias("group_id")))
 
 
 def assign(sizes: list[tuple[int, int]], shares: tuple[float, ...]) -> list[list[int]]:

@@ -75,10 +75,10 @@ def brute_runs(rows, limit, gap_us):
             return min(repeats.similarity((x[2], x[3]), (y[2], y[3])) for x in a for y in b)
 
         while True:
-            best = max(((sim(a, b), -i) for i, (a, b) in enumerate(zip(runs, runs[1:]))), default=(-1, 0))
+            best = max(((sim(a, b), -repeats.scatter(b[0][1]), -i) for i, (a, b) in enumerate(zip(runs, runs[1:]))), default=(-1, 0, 0))
             if best[0] < limit:
                 break
-            i = -best[1]
+            i = -best[2]
             runs[i : i + 2] = [runs[i] + runs[i + 1]]
         out |= {(min(x[1] for x in r), max(x[1] for x in r), len(r), r[0][0], r[-1][0]) for r in runs}
     return out
@@ -106,6 +106,23 @@ def test_stretches_of_near_identical_events_over_batches_and_tasks(spark, spool)
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_what_a_task_leaves_open_is_little_and_decides_alike():
+    rng = random.Random(2)
+    for trial in range(30):
+        n = rng.randrange(2, 120)
+        kinds = [frozenset([(rng.choice([1, 1, 2]), rng.choice(["cmd.exe", "cmd64.exe", "cmd6.exe"]))]) for _ in range(n)]
+        lead, times = rng.sample(range(10_000), n), list(range(n))
+        whole = repeats.agglomerate(kinds, times, list(times), lead, 0.5, None)
+        at = rng.randrange(1, n)
+        parts = [(0, at, False, True), (at, n, True, False)]
+        runs = [[x + a for x in r] for a, b, lo, hi in parts for r in repeats.agglomerate(kinds[a:b], times[a:b], times[a:b], lead[a:b], 0.5, None, lo, hi)]
+        again = repeats.agglomerate([frozenset().union(*(kinds[x] for x in r)) for r in runs], [times[r[0]] for r in runs], [times[r[-1]] for r in runs], [lead[r[0]] for r in runs], 0.5, None)
+        assert [[x for i in g for x in runs[i]] for g in again] == whole
+    n = 20_000  # every two neighbours equally similar
+    kinds = [frozenset([(1, ("cmd.exe", "cmd64.exe")[i % 2])]) for i in range(n)]
+    assert len(repeats.agglomerate(kinds, list(range(n)), list(range(n)), list(range(n)), 0.5, None, True, True)) < 40
+
+
 def test_no_events(spark, spool):
     assert repeats.collapse_runs(spark.createDataFrame([], "entity string, ts_us long, step long, event_id int, program string"), spool).count() == 0
 
