@@ -219,7 +219,7 @@ def local_tours(k: np.ndarray, p: np.ndarray) -> pd.DataFrame:
 
 def distributed_hierarchy(raw: DataFrame, spool: Spool, block: Column, task_rows: int) -> DataFrame:
     """:func:`hierarchy` of ``(k, p, grp)`` rows whose trees may lie anywhere; ``block`` says which rows meet in a task first."""
-    spark = spool.spark
+    spark, mark = spool.spark, spool.mark()
     known = raw.select(F.col("k").alias("p"), F.lit(True).alias("known"))
     asked = raw.withColumn("p", F.when(F.col("p") >= 0, F.col("p")).otherwise(-1 - F.col("k")))  # rows without a parent have no key in common
     base = asked.join(known, "p", "left").select("k", F.when(F.col("known"), F.col("p")).otherwise(F.lit(-1)).cast("long").alias("p"), "grp")
@@ -234,6 +234,7 @@ def distributed_hierarchy(raw: DataFrame, spool: Spool, block: Column, task_rows
     ranked = spool.cut(both.select("k", F.expr("last div 2").alias("root"), "h_in", "h_out", (F.col("succ") == CUT).alias("cycle")), "ranked")
     n_parts = partitions(spark)
     tour = spool.cut(ranked.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "tour")
+    spool.drop_since(mark, tour)
     begin = tour.groupBy("part").agg(F.min(F.struct("root", (-F.col("h_in")).alias("at"))).alias("b")).orderBy("part").collect()  # a row per task
     parts, roots, ats = (np.array(x, np.int64) for x in zip(*((r.part, r.b.root, r.b["at"]) for r in begin))) if begin else (np.empty(0, np.int64),) * 3
 

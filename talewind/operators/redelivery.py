@@ -128,7 +128,7 @@ class SeenMessages:
             fresh = fresh.join(before, _PRODUCER, "left").select(*_PRODUCER, merged_ranges(F.concat("ranges", F.coalesce("before", F.array().cast("array<struct<lo:bigint,hi:bigint>>")))).alias("ranges"))
         fresh.write.parquet(home.path(folder["ranges"]))
         self.versions.commit({"buckets": self.buckets, **{k: state.get(k, []) + [v] for k, v in folder.items()}}, batch_id)
-        sp.drop(rows, twice, *([known] if known is not None else []))
+        sp.close()
         return True
 
     def compact(self) -> None:

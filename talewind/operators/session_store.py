@@ -146,6 +146,7 @@ class SessionStore:
         first, last = F.floor(F.col("start_us") / self.slot_us), F.floor(F.col("end_us") / self.slot_us)
         spans = new.groupBy(first.alias("slot")).agg(F.min("start_us").alias("lo"), F.max("end_us").alias("hi"), F.max(last).alias("last")).collect()  # a row per slot
         if not spans:
+            scratch.close()
             return False
         own = {s for r in spans for s in range(r["slot"], r["last"] + 1)}  # slots that may be rewritten are read whole
         near = [k for k, v in self.slots.items() if k in own or any(v["end"] >= r["lo"] - gap and v["start"] <= r["hi"] + gap for r in spans)]
@@ -164,7 +165,7 @@ class SessionStore:
             if r.fresh or r.slot in moved:
                 slots[r.slot] = {"path": f"{folder}/slot={r.slot}", "start": r.lo, "end": r.hi}
         self.versions.commit({str(k): v for k, v in slots.items()}, batch_id)
-        scratch.drop(new)
+        scratch.close()
         return True
 
     def vacuum(self) -> None:

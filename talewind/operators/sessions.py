@@ -121,12 +121,24 @@ def session_stats(sessions: DataFrame) -> DataFrame:
         F.count("*").alias("sessions"), F.sum("n_events").alias("events"), F.avg(size).alias("mean_size"), F.percentile(size, 0.5).alias("median_size"), F.percentile(size, 0.95).alias("p95_size"), F.max("n_events").alias("max_size"), F.min("n_events").alias("min_size"))
 
 
-def gap_audit(events: DataFrame, gap_s: int) -> DataFrame:
-    """Per host of ``(host, ts_us, seq)``: seconds covered, largest, mean and median pause, and pauses beyond the limit."""
-    w = Window.partitionBy("host").orderBy("ts_us", "seq")
-    g = events.withColumn("gap", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1_000_000)
-    return g.groupBy("host").agg(
-        ((F.max("ts_us") - F.min("ts_us")) / 1_000_000).alias("duration_s"), F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"), F.percentile("gap", 0.5).alias("median_gap"), F.count_if(F.col("gap") > gap_s).alias("n_over"))
+def gap_audit(events: DataFrame, gap_s: int, bucket_s: int = 86_400) -> DataFrame:
+    """Per host of ``(host, ts_us, seq)``: seconds covered, largest, mean and median pause, and pauses beyond the limit.
+
+    Pauses are taken inside (host, time bucket), and between buckets from one row each, so that a host of any size is
+    spread over its buckets.  Equal pauses are counted before the shuffle.
+    """
+    w = Window.partitionBy("host", "bucket").orderBy("ts_us", "seq")
+    rows = events.withColumn("bucket", F.floor(F.col("ts_us") / (bucket_s * 1_000_000)))
+    inner = rows.select("host", (F.col("ts_us") - F.lag("ts_us").over(w)).alias("gap"))
+    ends = rows.groupBy("host", "bucket").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    over = ends.select("host", "lo", "hi", (F.col("lo") - F.lag("hi").over(Window.partitionBy("host").orderBy("bucket"))).alias("gap"))
+    none = F.lit(None).cast("long")
+    every = inner.filter("gap is not null").select("host", none.alias("lo"), none.alias("hi"), "gap").unionByName(over)
+    c = every.groupBy("host", "gap").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    gap, n = F.col("gap") / 1_000_000, F.when(F.col("gap").isNotNull(), F.col("n"))
+    return c.groupBy("host").agg(
+        ((F.max("hi") - F.min("lo")) / 1_000_000).alias("duration_s"), F.max(gap).alias("max_gap"), (F.sum(F.col("gap") * n) / F.sum(n) / 1_000_000).alias("mean_gap"),
+        F.percentile(gap, 0.5, F.coalesce(n, F.lit(0))).alias("median_gap"), F.coalesce(F.sum(F.when(gap > gap_s, n)), F.lit(0)).alias("n_over"))
 
 
 def session_entities(events: DataFrame, members: DataFrame) -> DataFrame:

@@ -108,6 +108,12 @@ def dataset_policy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.target_policy(_dataset(spark, sf)[0], "train_target")
 
 
+def dataset_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions with the same 103 features: how many, in how many scenarios and with how many labels."""
+    d = _dataset(spark, sf)[0]
+    return evaluate.duplicate_vectors(d, list(features.FEATURES), "scenario_id", "y_primary").select("n", "n_groups", "n_labels")
+
+
 # ---- lines, rows, documents ------------------------------------------------------------------------------------
 def source_memory(spark: SparkSession, sf: str) -> DataFrame:
     """Dicts in memory; ``region`` and ``nation`` never grow."""
@@ -299,7 +305,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_scenarios, source_links, source_zipped, source_memory, source_ndjson, source_auth, source_flows, source_network, source_stix, source_tactics, source_corpus, source_activities, source_manifest,
-        sink_matrix, sink_hygiene, sink_incidents, artifact_roundtrip, dataset_build, dataset_drops, dataset_support, dataset_policy, loso_folds, loso_pooled, strategy_audit, class_retention, strategy_runs, retrieval_by_source)
+        sink_matrix, sink_hygiene, sink_incidents, artifact_roundtrip, dataset_build, dataset_drops, dataset_support, dataset_policy, dataset_duplicates, loso_folds, loso_pooled, strategy_audit, class_retention, strategy_runs, retrieval_by_source)
 }
 
 _HOSTS = """hosts as (select host, row_number() over (order by host || '.zip') - 1 i, row_number() over (order by host) - 1 j from (select distinct host from process_entities where host is not null)),
@@ -353,6 +359,8 @@ union all select case when n_nationkey % 5 = 0 then 'id-' else 'a-' end || n_nat
     "artifact_roundtrip": "select count(*) n, count(*) n_same, true held, count(distinct label) n_classes from embeddings",
     "dataset_build": f"""with recursive {_BUILT} select 'scn-' || host scenario_id, kind, feat.* exclude (kind, session), case when len(t) = 1 then t[1] end train_target, list_min(t) y_primary,
  (lsass_targeted_count > 0 or process_access_count > 0 or network_flow_count > 0 or registry_mod_count > 0 or failed_login_count > 0 or {sql.PROC}) has_evidence from feat join home using (kind, session) join tech using (host)""",
+    "dataset_duplicates": f"""with recursive {_BUILT} select count(*) n, count(distinct host) n_groups, count(distinct list_min(t)) n_labels from feat join home using (kind, session) join tech using (host)
+group by {', '.join(features.FEATURES)} having count(*) >= 2""",
     "dataset_drops": f"with {_EV} select reason, case when reason <> 'malformed' then eid end event_id, count(*) n from parsed where reason is not null group by 1, 2",
     "dataset_support": f"with recursive {_BUILT}, x as (select distinct host, unnest(t) technique from home join tech using (host)) select technique, count(*) n_scenarios, count(*) >= 5 supported from x group by technique",
     "dataset_policy": f"with recursive {_BUILT} select case when len(t) = 1 then 'single' else 'several' end as policy, count(*) n from home join tech using (host) group by 1",

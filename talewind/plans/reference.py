@@ -163,7 +163,7 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_sets(spark: SparkSession, sf: str) -> DataFrame:
     j = lambda c: F.array_join(c, ",").alias(c)
-    return labels.check_benign(_labels(spark, sf), "OTRF").select("scenario_id", j("techniques"), j("sub_techniques"))
+    return labels.check_benign(_labels(spark, sf), "OTRF").select("scenario_id", j("techniques"), j("sub_techniques"), j("tactics"))
 
 
 def label_space(spark: SparkSession, sf: str) -> DataFrame:

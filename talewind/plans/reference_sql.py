@@ -119,7 +119,7 @@ def _feature_sql() -> dict[str, str]:
 FEAT = f"{_MEMBERS}, {_INPUT}, feat as (select kind, session, {', '.join(f'{s} {k}' for k, s in _feature_sql().items())} from inp group by kind, session)"
 PROC = " or ".join(f"proc_{b.removesuffix('.exe')} > 0" for b in BINARIES)
 
-_LAB = """d as (select source || '|' || author scenario_id, unnest(technique_ids) t, case when doc_id % 3 = 0 then lpad((doc_id % 5)::varchar, 3, '0') end sub from documents where author is not null and source is not null),
+_LAB = """d as (select source || '|' || author scenario_id, lang, unnest(technique_ids) t, case when doc_id % 3 = 0 then lpad((doc_id % 5)::varchar, 3, '0') end sub from documents where author is not null and source is not null),
 lab as (select distinct scenario_id, split_part(t, '.', 1) t, case when sub is not null then split_part(t, '.', 1) || '.' || sub end sub from d where t <> ''),
 space as (select t technique, count(distinct scenario_id) n_scenarios from lab group by t)"""
 
@@ -225,7 +225,7 @@ ORACLE = {
     "feature_basename_ext": rf"select lower(split_part(split_part(image, '\', -1), '/', -1)) base, case when image is null then '' else lower({_ext('image')}) end ext, count(*) n from activity_events group by all",
     "dataset_audit": f"with recursive {FEAT}, m as (unpivot (select {', '.join(f'max(abs({c})) {c}' for c in FEATURES)} from feat) on columns(*) into name feature value max_abs) select feature, max_abs, max_abs > 0 active from m",
     "hash_fields": "select proc_key, hashes['SHA1'] sha1, hashes['MD5'] md5, cardinality(hashes)::int n from process_entities where hashes is not null",
-    "label_sets": f"with {_LAB} select scenario_id, string_agg(distinct t, ',' order by t) techniques, coalesce(string_agg(distinct sub, ',' order by sub), '') sub_techniques from lab group by scenario_id",
+    "label_sets": f"with {_LAB} select scenario_id, string_agg(distinct t, ',' order by t) techniques, coalesce(string_agg(distinct sub, ',' order by sub), '') sub_techniques, any_value(tactics) tactics from lab join (select scenario_id, coalesce(string_agg(distinct lang, ',' order by lang), '') tactics from d where t <> '' group by scenario_id) using (scenario_id) group by scenario_id",
     "label_space": f"with {_LAB} select technique, n_scenarios, n_scenarios >= 3 supported from space",
     "label_project": f"""with {_LAB}, x as (select distinct doc_id, case when n_scenarios >= 40 then split_part(t, '.', 1) else 'unsupported_class' end k from (select doc_id, unnest(technique_ids) t from documents) left join space on technique = split_part(t, '.', 1))
 select doc_id, coalesce(string_agg(k, ',' order by k), '') projected from documents left join x using (doc_id) group by doc_id""",

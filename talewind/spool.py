@@ -92,7 +92,17 @@ class Spool(Home):
     def __init__(self, spark: SparkSession, what: str):
         super().__init__(spark, f"{shared_dir(spark).rstrip('/')}/talewind-{what}-{uuid.uuid4().hex[:12]}")
         _made.append((self.fs, self._path(self.root)))
-        self._n = 0
+        self._n, self._cuts = 0, []
+
+    def __enter__(self) -> Spool:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete all tables now; nothing may read them afterwards.  What is not closed goes at exit."""
+        self.fs.delete(self._path(self.root), True)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return it read back, without lineage."""
@@ -101,8 +111,19 @@ class Spool(Home):
         df.write.mode("error").parquet(where)
         back = self.spark.read.schema(df.schema).parquet(where)
         back._talewind_path = where
+        self._cuts.append(back)
         return back
 
+    def mark(self) -> int:
+        """A point in time for :meth:`drop_since`."""
+        return len(self._cuts)
+
+    def drop_since(self, mark: int, *but: DataFrame) -> None:
+        """Delete the tables cut since ``mark``, all but the given ones."""
+        kept = {b._talewind_path for b in but}
+        self.drop(*(t for t in self._cuts[mark:] if t._talewind_path not in kept))
+        self._cuts[mark:] = [t for t in self._cuts[mark:] if t._talewind_path in kept]
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by :meth:`cut`; nothing may read them afterwards."""
         for df in tables:

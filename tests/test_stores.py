@@ -143,3 +143,13 @@ def test_hot_cells(spark):
     rows = [("h", T0 + (i % 7) * 100_000_000, i) for i in range(2000)] + [("h", T0 + 1_000_000_000, 5000), (None, T0, 1)]
     got = local_sessions(spark.createDataFrame(rows, "key string, ts_us long, seq long"), ["key"], 300).collect()
     assert {(r.key, r.n_events, r.min_seq, r.max_seq) for r in got} == {("h", 2000, 0, 1999), ("h", 1, 5000, 5000), (None, 1, 1, 1)}
+
+
+def test_scratch_tables_go_when_they_are_no_longer_needed(spark):
+    with Spool(spark, "test") as sp:
+        first = sp.cut(spark.range(3))
+        mark = sp.mark()
+        second, third = sp.cut(spark.range(4)), sp.cut(spark.range(5))
+        sp.drop_since(mark, third)
+        assert (first.count(), third.count()) == (3, 5) and len(sp.names()) == 2
+    assert sp.names() == [] and second is not None
