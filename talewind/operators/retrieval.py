@@ -153,5 +153,5 @@ def by_technique(docs: DataFrame) -> DataFrame:
 def evidence_packages(docs: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """``(technique, doc_id, how, score)`` of ``(technique, text)``: exact look-ups and the k most similar texts, each document once, exact first."""
     exact = asked.select("technique").join(by_technique(docs), "technique").select("technique", "doc_id", F.lit("exact").alias("how"), F.lit(1.0).alias("score"))
-    similar = tfidf_search(docs, asked.select(F.col("technique").alias("query_id"), "text"), k).select(F.col("query_id").alias("technique"), "doc_id", F.lit("similar").alias("how"), F.round("score", 4).alias("score"))
+    similar = tfidf_search(docs, asked.select(F.col("technique").alias("query_id"), "text"), k).select(F.col("query_id").alias("technique"), "doc_id", F.lit("similar").alias("how"), "score")
     return exact.unionByName(similar.join(exact.select("technique", "doc_id"), ["technique", "doc_id"], "left_anti"))

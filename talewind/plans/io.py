@@ -126,8 +126,8 @@ def source_ndjson(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of NDJSON files, parsed for validation only."""
     where = Spool(spark, "ndjson").path("lines")
     reference.records(spark, sf).select(F.to_json("record").alias("value")).write.text(where, lineSep="\n")
-    lines = spark.read.text(where, recursiveFileLookup=True).select(F.col("value").alias("line"))
-    parsed = parse.parse(lines.select(F.monotonically_increasing_id().alias("seq"), F.from_json("line", "map<string,string>").alias("record")).filter("record is not null"))
+    lines = files.text_lines(spark, where, "*.txt")
+    parsed = parse.parse(lines.select(F.col("line_no").alias("seq"), F.from_json("line", "map<string,string>").alias("record")).filter("record is not null"))
     return files.validation(parsed)
 
 

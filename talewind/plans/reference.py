@@ -221,6 +221,12 @@ def ueba_untrained(spark: SparkSession, sf: str) -> DataFrame:
     return z.groupBy("user_id").agg(F.count_if("is_anomalous").alias("n_anomalous"), F.round(F.sum(F.abs("z_value")), 4).alias("sum_z"), F.count_if(F.size("contributing") > 0).alias("n_contributing"))
 
 
+def ueba_contributing(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that stand out, by event."""
+    z = ueba.scores(ueba.zscores(_user_values(spark, sf), "user_id", ["us", "event_id"], ["value", "k"], "day"), ["value", "k"])
+    return z.select("event_id", F.array_join("contributing", ",").alias("contributing"))
+
+
 UEBA = ["event_count", "process_access_count", "registry_mod_count", "failed_login_count", "network_flow_count"]
 
 
@@ -335,6 +341,13 @@ def next_step_topk(spark: SparkSession, sf: str) -> DataFrame:
     return transitions.next_steps(transitions.matrix(steps(spark, sf)), 3).select("src", "dst", "rank", "support")
 
 
+def predict_next(spark: SparkSession, sf: str) -> DataFrame:
+    """Likely steps after every technique, asked for by a sub-technique, and after an unknown one."""
+    m = transitions.matrix(steps(spark, sf))
+    asked = m.select(F.concat("src", F.lit(".001")).alias("technique")).distinct().unionByName(spark.createDataFrame([("none",)], "technique string"))
+    return transitions.predict(m, asked).select("technique", F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s.technique, s.support)), ",").alias("steps"))
+
+
 def _twin(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("a"))
     assets = n.select(F.col("a").alias("asset_id"), (F.col("a") % 4).alias("tier"))
@@ -395,6 +408,13 @@ def retrieval_by_technique(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.by_technique(table(spark, sf, "documents"))
 
 
+def evidence_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that name a technique, and the most similar ones that don't, for every technique of the corpus."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "technique_ids")
+    asked = retrieval.by_technique(d).select("technique").distinct().withColumn("text", F.concat(F.lit("technique "), "technique"))
+    return retrieval.evidence_packages(d, asked)
+
+
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Spool]:
     ev, m, sp = _built(spark, sf)
     nodes = sp.cut(graph.node_index(sessions.session_entities(ev, m)), "nodes")
@@ -420,6 +440,12 @@ def graph_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return graph.class_weights(table(spark, sf, "built_dataset"), "y_primary").withColumn("weight", F.round("weight", 6))
 
 
+def graph_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    """Problems of all session graphs; there are none."""
+    nodes, edges, _ = _graph(spark, sf)
+    return graph.invalid_graphs(graph.node_features(nodes, graph.degrees(nodes, edges)), edges)
+
+
 def graph_content(spark: SparkSession, sf: str) -> DataFrame:
     """How many sessions share their graph's content, and in how many kinds."""
     nodes, edges, _ = _graph(spark, sf)
@@ -497,5 +523,5 @@ QUERIES = {
         benign_auth, benign_flows, benign_network, ueba_welford, ueba_untrained, ueba_sessions, ueba_trained, hygiene_columns, hygiene_corr, metrics_macro, metrics_topk, metrics_ece, metrics_brier, metrics_confusion,
         metrics_majority, dup_vector_audit, evidence_retention, transition_matrix, next_step_topk, twin_reach, twin_critical, twin_blast_radius, retrieval_cosine, retrieval_tfidf, retrieval_by_technique,
         graph_node_index, graph_degrees, graph_node_features, graph_class_weights, graph_content, graph_label_map, graph_conflicts, attribution_loso, incident_report, ueba_batches, twin_request, twin_whatif, parse_times,
-        session_position, session_tree_stats)
+        session_position, session_tree_stats, predict_next, evidence_packages, graph_invalid, ueba_contributing)
 }

