@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from talewind.spool import Spool, partitions
 
 _RUN = "entity string, first_step long, last_step long, n long, start_us long, end_us long, event_id long, program string"
-_OUT = f"part int, place string, ord long, {_RUN}, lead long, kinds array<struct<event_id:long,program:string,n:long>>"
+_OUT = f"part int, place string, ord long, {_RUN}"
+_MIXED = "lead long, kinds array<struct<event_id:long,program:string,n:long>>"
 
 
 @lru_cache(maxsize=100_000)
@@ -102,12 +103,13 @@ def _collapse(pdf: pd.DataFrame, gap_us: int | None) -> pd.DataFrame:
     """The agglomeration down to similarity 1: equal neighbours within the gap become one element."""
     known = (pdf["event_id"].notna() & pdf["program"].notna()).tolist()
     kinds = [{k} if ok else None for k, ok in zip(zip(pdf["entity"].tolist(), pdf["event_id"].tolist(), pdf["program"].tolist()), known)]
-    runs = agglomerate(kinds, pdf["start_us"].tolist(), pdf["end_us"].tolist(), pdf["lead"].tolist(), 1.0, gap_us)
+    runs = agglomerate(kinds, pdf["start_us"].tolist(), pdf["end_us"].tolist(), [0] * len(pdf), 1.0, gap_us)  # all ties, which merge in any order
     g = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
     by = pdf.groupby(g, sort=True)
+    more = {"lead": by["lead"].first(), "kinds": None} if "lead" in pdf else {}
     return pd.DataFrame({
         "entity": by["entity"].first(), "first_step": by["first_step"].min(), "last_step": by["last_step"].max(), "n": by["n"].sum(),
-        "start_us": by["start_us"].min(), "end_us": by["end_us"].max(), "event_id": by["event_id"].first(), "program": by["program"].first(), "lead": by["lead"].first(), "kinds": None}).reset_index(drop=True)
+        "start_us": by["start_us"].min(), "end_us": by["end_us"].max(), "event_id": by["event_id"].first(), "program": by["program"].first(), **more}).reset_index(drop=True)
 
 
 def _borders(el: pd.DataFrame, limit: float, gap_us: int | None) -> np.ndarray:
@@ -200,6 +202,8 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
     ones.  Equal times are no gap.  No rows give no rows.
     """
     spark, gap_us = spool.spark, None if gap_s is None else int(gap_s * 1_000_000)
+    plain = limit >= 1.0  # every run is of one kind
+    cols = _COLS[:-2] if plain else _COLS
     rows = events.filter("entity is not null and ts_us is not null").select(
         "entity", "ts_us", F.col("step").cast("long").alias("step"), F.col("event_id").cast("long").alias("event_id"), "program")
     rows = rows.repartitionByRange(partitions(spark), "entity", "ts_us", "step").sortWithinPartitions("entity", "ts_us", "step").withColumn("part", F.spark_partition_id())
@@ -210,15 +214,15 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
 
         def out(df: pd.DataFrame, place: str) -> pd.DataFrame:
             nonlocal order
-            if place == "inside":
+            if place == "inside" and not plain:
                 df = df.assign(kinds=None)
-            df = df[_COLS].assign(part=part, place=place, ord=np.arange(order, order + len(df)))
+            df = df[cols].assign(part=part, place=place, ord=np.arange(order, order + len(df)))
             order += len(df)
-            return df[["part", "place", "ord", *_COLS]]
+            return df[["part", "place", "ord", *cols]]
 
         def merged(el: pd.DataFrame, open_left: bool, open_right: bool) -> pd.DataFrame:
             """An open stretch with all merged that does not depend on what lies beyond its open sides."""
-            return el if limit >= 1.0 else _frame(_merge_stretch(_rows(el), limit, gap_us, open_left, open_right), el)
+            return el if plain else _frame(_merge_stretch(_rows(el), limit, gap_us, open_left, open_right), el)
 
         def closed(el: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
             cuts = np.zeros(len(el), bool)
@@ -227,7 +231,9 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
 
         for pdf in filter(len, frames):
             part = int(pdf["part"].iloc[0])
-            one = pd.DataFrame({"entity": pdf["entity"], "first_step": pdf["step"], "last_step": pdf["step"], "n": 1, "start_us": pdf["ts_us"], "end_us": pdf["ts_us"], "event_id": pdf["event_id"].astype("Int64"), "program": pdf["program"].astype(object).where(pdf["program"].notna(), None), "lead": pdf["step"].fillna(0).astype("int64"), "kinds": None})
+            one = pd.DataFrame({"entity": pdf["entity"], "first_step": pdf["step"], "last_step": pdf["step"], "n": 1, "start_us": pdf["ts_us"], "end_us": pdf["ts_us"], "event_id": pdf["event_id"].astype("Int64"), "program": pdf["program"].astype(object).where(pdf["program"].notna(), None)})
+            if not plain:
+                one = one.assign(lead=pdf["step"].fillna(0).astype("int64"), kinds=None)
             if held:  # only the last open element can go on, and it is never merged before its stretch ends
                 last = held.pop()
                 one = pd.concat([last.iloc[-1:], one], ignore_index=True)
@@ -248,7 +254,7 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
         if held:
             yield out(merged(pd.concat(held, ignore_index=True), first, True), "whole" if first else "tail")
 
-    got = spool.cut(rows.mapInPandas(inside, _OUT), "runs")
+    got = spool.cut(rows.mapInPandas(inside, _OUT if plain else f"{_OUT}, {_MIXED}"), "runs")
     edge = got.filter("place <> 'inside'")
     seam = F.struct("entity", "event_id", "program", "start_us", "end_us")  # the outermost elements of a task, which are never merged in it
     ends = edge.groupBy("part", "place").agg(F.min_by(seam, "ord").alias("a"), F.max_by(seam, "ord").alias("b")).collect()  # at most two rows a task
@@ -264,8 +270,9 @@ def collapse_runs(events: DataFrame, spool: Spool, limit: float = 1.0, gap_s: fl
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "ord"], ignore_index=True)
-        kinds = list(map(_dicts, pdf["kinds"]))
-        el = pdf[_COLS].assign(event_id=pdf["event_id"].astype("Int64"), program=pdf["program"].astype(object).where(pdf["program"].notna(), None), kinds=pd.Series(kinds, dtype=object))
+        kinds = [None] * len(pdf) if plain else list(map(_dicts, pdf["kinds"]))
+        el = pdf.assign(lead=0)[_COLS[:-1]] if plain else pdf[_COLS]
+        el = el.assign(event_id=pdf["event_id"].astype("Int64"), program=pdf["program"].astype(object).where(pdf["program"].notna(), None), kinds=pd.Series(kinds, dtype=object))
         return _frame(_merge_stretch(_rows(el), limit, gap_us), el).drop(columns=["lead", "kinds"])
 
     mended = edge.join(F.broadcast(chains), ["part", "place"]).groupBy("chain").applyInPandas(across, _RUN)
