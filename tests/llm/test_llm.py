@@ -277,6 +277,8 @@ def test_margin_is_validated_on_held_out_documents(spark):
         assert found.margin.wrongly_found <= 1e-4 and found.margin.low <= found.margin.margin
         share = encoding.restored_share(found).filter("n >= 20").collect()
         assert share and sum(r.share * r.n for r in share) >= 0.9 * sum(r.n for r in share)
+        if found.margin.low < found.margin.high:
+            assert all(r.share >= 0.9 for r in share if r.n >= 100)
         margins.append(found.margin.margin)
     assert margins[0] != margins[1]
 
@@ -287,6 +289,9 @@ def test_settled_margin():
     m = encoding.settle(clean, garbled, 0.0, 0.9)
     assert (m.low, m.high, m.margin, m.wrongly_found, m.found_of_garbled) == (5.0, 29.9, 17.4, 0.0, 0.9)
     assert encoding.settle(clean, garbled, 0.01, 0.9).low == 3.0
+    weak, few = np.zeros(2001, np.int64), np.zeros(2001, np.int64)
+    weak[[60, 80, 400]], few[10] = (5, 20, 75), 99
+    assert encoding.settle(clean, np.stack([garbled, weak, few]), 0.0, 0.9).high == 7.9  # the weakest chain of enough words decides
     assert encoding.settle(garbled, clean, 0.0, 0.9).margin == 30.0  # nothing does both: few wrong finds come first
     none = np.zeros(2001, np.int64)
     assert encoding.settle(none, none, 0.0, 0.9).margin == 0.0 and encoding.settle(clean, none, 0.0, 0.9).margin == 5.0
