@@ -172,8 +172,14 @@ def _script(c: str) -> str:
 
 def other_script(word: str) -> float:
     """Log-likelihood of a word as text of one script other than Latin, its letters equally likely; of any other word, minus infinity."""
-    script = {_script(c) for c in word if c.isalpha() or c > "\x7f"}
-    if len(script) != 1 or script & {"", "LATIN"}:
+    script = ""
+    for c in word:
+        if c > "\x7f" or c.isalpha():
+            s = _script(c)
+            if s in ("", "LATIN") or script not in ("", s):
+                return -math.inf
+            script = s
+    if not script:
         return -math.inf
     return RARE - sum(LETTERS.get(_script(c), 5.0) if c > "\x7f" else 5.0 for c in word)
 
@@ -224,7 +230,11 @@ class Model:
         return got
 
     def score(self, word: str) -> float:
-        return sum(map(self.gram, trigrams(word)))
+        return self.score_of(trigrams(word))
+
+    def score_of(self, grams: list[str]) -> float:
+        known = self.known.get
+        return sum([known(t) or self.gram(t) for t in grams])
 
     def as_found(self, word: str) -> float:
         """Score of a word as it stands, which may be of a script that the clean words lack."""
@@ -286,28 +296,31 @@ def _gains(words: DataFrame, model: Model, best: bool) -> DataFrame:
     return words.select("word", "n").mapInPandas(run, _GAINS)
 
 
-def garbled_gains(clean: DataFrame, model: Model, trials: int) -> DataFrame:
+def garbled_gains(clean: DataFrame, model: Model) -> DataFrame:
     """``(word, chain, gain)``: what clean words, garbled on purpose, gain by the chain that undoes it.
 
-    ``clean`` has ``(word, n)``.  Every chain is tried on the ``trials`` words that a hash puts first (a documented
-    bound of this validation sample; the share found by chain does not depend on the number of words).  Each is scored
-    by a model that has not seen one of its folds.
+    ``clean`` has ``(word, n)``.  Every chain is tried on every word.  Each is scored by all models that have not seen
+    one of its folds, and the smallest gain counts.
     """
-    sample = clean.orderBy(F.xxhash64("word")).limit(trials).repartition(partitions(clean.sparkSession))
 
     def gains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in filter(len, frames):
             out = []
             for w, n in zip(pdf["word"], pdf["n"]):
-                m = model.use(int(np.flatnonzero(n)[0]))
-                back = m.score(w)
+                made: dict[str, list[int]] = {}
                 for i, chain in enumerate(CHAINS):
                     g = garble(w, chain)
                     if g is not None and g != w and undo(g, chain) == w:
-                        out.append((w, i, back - m.as_found(g)))
+                        made.setdefault(g, []).append(i)
+                models, own = np.flatnonzero(n).tolist(), trigrams(w)
+                back = [model.use(f).score_of(own) for f in models] if made else []
+                for g, chains in made.items():
+                    grams, other = trigrams(g), other_script(g)
+                    least = min(b - max(model.use(f).score_of(grams), other) for f, b in zip(models, back))
+                    out += [(w, i, least) for i in chains]
             yield pd.DataFrame(out, columns=["word", "chain", "gain"])
 
-    return sample.select("word", "n").mapInPandas(gains, "word string, chain int, gain double")
+    return clean.select("word", "n").repartition(partitions(clean.sparkSession)).mapInPandas(gains, "word string, chain int, gain double")
 
 
 def _histogram(gains: DataFrame) -> np.ndarray:
@@ -384,7 +397,7 @@ class Garbled:
     margin: Margin
 
 
-def garbled_words(documents: DataFrame, spool: Spool, allowed: float = 1e-4, least: float = 0.9, trials: int = 500, grams: int = 1_000_000) -> Garbled:
+def garbled_words(documents: DataFrame, spool: Spool, allowed: float = 1e-4, least: float = 0.9, grams: int = 1_000_000) -> Garbled:
     """Words ``(row, doc_id, fold, word)`` of all documents and the garbled ones among them ``(word, fold, chain, restored, gain)``.
 
     Clean documents are told in two steps.  A word is unsound if it lost characters or a utf-8 chain undoes it into
@@ -395,7 +408,7 @@ def garbled_words(documents: DataFrame, spool: Spool, allowed: float = 1e-4, lea
     U+FFFD is the mark a decoder leaves where bytes did not fit the encoding: such words need no model, they are
     garbled with ``chain`` -1 and a null ``restored``.
 
-    ``trials`` bounds the sample of words garbled on purpose, ``grams`` the trigrams of a model.
+    ``grams`` bounds the trigrams of a model.
     """
     each = spool.cut(foreign_words(documents), "words")
     words = spool.cut(_vocabulary(each).repartition(partitions(spool.spark)), "vocabulary")
@@ -422,7 +435,7 @@ def garbled_words(documents: DataFrame, spool: Spool, allowed: float = 1e-4, lea
     sums = each.join(first, ["word", "fold"]).select("row", "chain", "word", "gain").distinct().groupBy("row", "chain").agg(F.sum("gain").alias("gain")).groupBy("row").agg(F.max("gain").alias("gain"))
     sums = spool.cut(sums.join(odd, "row", "left_anti"), "sums")
     n_sound = each.select("row").distinct().count() - odd.count()
-    limit = balanced(_with_zeros(_histogram(sums), n_sound), _histogram(garbled_gains(sound, model, trials)))
+    limit = balanced(_with_zeros(_histogram(sums), n_sound), _histogram(garbled_gains(sound, model)))
     unclean = spool.cut(odd.unionByName(sums.filter(F.col("gain") > limit).select("row")), "unclean")
     clean = spool.cut(_vocabulary(each.join(unclean, "row", "left_anti")), "clean")
     model = _train(clean, grams)
@@ -430,7 +443,7 @@ def garbled_words(documents: DataFrame, spool: Spool, allowed: float = 1e-4, lea
     final = spool.cut(_gains(words.filter(~lost), model, True), "final")
     top = each.join(final.select("word", "fold", "gain"), ["word", "fold"]).groupBy("row").agg(F.max("gain").alias("gain")).join(unclean, "row", "left_anti")
     n_clean = n_sound - sums.filter(F.col("gain") > limit).count()
-    margin = settle(_with_zeros(_histogram(top), n_clean), _by_chain(garbled_gains(clean, model, trials)), allowed, least)
+    margin = settle(_with_zeros(_histogram(top), n_clean), _by_chain(garbled_gains(clean, model)), allowed, least)
     none = words.filter(lost).select("word", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"), F.lit(-1).alias("chain"), F.lit(None).cast("string").alias("restored"), F.lit(0.0).alias("gain"))
     bad = final.filter(F.col("gain") > margin.margin).unionByName(none)
     return Garbled(each, bad, clean, model, margin)
@@ -443,9 +456,9 @@ def _with_zeros(histogram: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def restored_share(found: Garbled, trials: int = 500) -> DataFrame:
+def restored_share(found: Garbled) -> DataFrame:
     """``(chain, n, share)``: of clean words garbled on purpose by each chain, the share that gains beyond the margin."""
-    g = garbled_gains(found.clean, found.model, trials)
+    g = garbled_gains(found.clean, found.model)
     return g.groupBy("chain").agg(F.count("*").alias("n"), F.avg((F.col("gain") > found.margin.margin).cast("double")).alias("share"))
 
 

@@ -283,6 +283,28 @@ def test_margin_is_validated_on_held_out_documents(spark):
     assert margins[0] != margins[1]
 
 
+def test_margin_is_validated_on_all_clean_words(spark):
+    """Every chain is tried on every clean word, however many there are, by all models that have not seen one of its folds."""
+    words = [f"{a}{b}{c}{d}n" for a in "bdfgklmprst" for b in "äöüéñ" for c in "bdlmnrst" for d in "aeo"]
+    rows = [(i, " ".join([CLEAN[i % 5], *words[i % 660 * 2 : i % 660 * 2 + 2]])) for i in range(1000)]
+    found = encoding.garbled_words(spark.createDataFrame(rows, "doc_id long, text string"), Spool(spark, "test"))
+    clean = {r.word: r.n for r in found.clean.collect()}
+    assert set(words) <= set(clean) and max(sum(x > 0 for x in n) for n in clean.values()) == encoding.FOLDS
+    gains = [[] for _ in encoding.CHAINS]
+    for w, n in clean.items():
+        for i, chain in enumerate(encoding.CHAINS):
+            g = encoding.garble(w, chain)
+            if g is not None and g != w and encoding.undo(g, chain) == w:
+                gains[i].append(min(found.model.use(f).score(w) - found.model.as_found(g) for f in range(encoding.FOLDS) if n[f]))
+    got = {r.chain: (r.n, round(r.share, 9)) for r in encoding.restored_share(found).collect()}
+    assert got == {i: (len(x), round(sum(y > found.margin.margin for y in x) / len(x), 9)) for i, x in enumerate(gains) if x}
+    assert max(n for n, _ in got.values()) == len(clean) > 1300
+    at = np.zeros((len(gains), 2001), np.int64)
+    for i, x in enumerate(gains):
+        np.add.at(at[i], np.clip(np.ceil(np.array(x) * 10), 0, 2000).astype(int), 1)
+    assert encoding.settle(at[0] * 0, at, 1e-4, 0.9).high == found.margin.high
+
+
 def test_settled_margin():
     clean, garbled = np.zeros(2001, np.int64), np.zeros(2001, np.int64)
     clean[[0, 30, 50]], garbled[[20, 150, 300]] = (90, 9, 1), (5, 5, 90)
